@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylog.llm import bpe, packing
+from quarrylog.llm import bpe, langid, matroska, packing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,9 +29,21 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.digest(matroska.read_back(matroska.store(documents(spark, sf_dir))))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.predict(docs, langid.sample_texts(docs.where(~langid.held_out())))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
+    "op5_matroska": op5_matroska,
+    "op7_langid": op7_langid,
 }
 
 ORACLES: dict[str, str] = {}
