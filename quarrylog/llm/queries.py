@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylog.llm import bpe, langid, matroska, neardup, packing
+from quarrylog.llm import bpe, langid, matroska, neardup, packing, quality
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,12 +43,18 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
     "op5_matroska": op5_matroska,
     "op7_langid": op7_langid,
+    "op8_quality": op8_quality,
 }
 
 ORACLES: dict[str, str] = {}
