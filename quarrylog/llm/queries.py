@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylog.llm import bpe, langid, matroska, neardup, packing, quality
+from quarrylog.llm import bpe, langid, matroska, neardup, packing, pseudonyms, quality
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = pseudonyms.pseudonymise(docs, found="found")
+    return found.select("doc_id", "text", "found", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digest(matroska.read_back(matroska.store(documents(spark, sf_dir))))
 
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
+    "op4_pii": op4_pii,
     "op5_matroska": op5_matroska,
     "op7_langid": op7_langid,
     "op8_quality": op8_quality,
