@@ -41,9 +41,10 @@ PATTERN = re.compile(
     r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w-]))"
-    r"|(?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|-[0-9]))",
+    r"|(?P<card>(?<![\w-])(?:[0-9]{13,19}|[0-9]{4}(?P<c1>[ -])[0-9]{4}(?P=c1)[0-9]{4}(?P=c1)[0-9]{1,7}|[0-9]{4}(?P<c2>[ -])[0-9]{6}(?P=c2)[0-9]{4,5})(?![\w]|-[0-9]))",
     re.DOTALL,
 )
+KINDS = ("block", "email", "access", "assigned", "iban", "date", "ip", "ssn", "phone", "card")
 #: Without one of these a text holds nothing that PATTERN finds.
 HINT = re.compile(r"[0-9@]|PRIVATE KEY|(?i:secret|token|passw|key)")
 
@@ -234,21 +235,20 @@ class Pseudonyms:
         if not HINT.search(text):
             return text, found
 
-        def new(m: re.Match) -> str:
-            kind = next(k for k in ("block", "email", "access", "assigned", "iban", "date", "ip", "ssn", "phone", "card") if m[k] is not None)
+        out, done, at = [], 0, 0
+        while m := PATTERN.search(text, at):
+            kind = next(k for k in KINDS if m[k] is not None)
+            begin, end = m.span()
             if kind == "assigned":
-                part = "quoted" if m["quoted"] else "bare"
-                out = m[0][: m.start(part) - m.start()] + self.one(kind, m[part]) + (m["quote"] or "")
-            else:
-                out = self.one(kind, m[0])
-                if out is None and kind == "phone":  # what is no phone number may be a card
-                    kind, out = "card", self.one("card", m[0]) if re.fullmatch("[0-9](?:[ -]?[0-9]){12,18}", m[0]) else None
-            if out is None:
-                return m[0]
+                begin, end = m.span("quoted" if m["quoted"] else "bare")
+            new = self.one(kind, text[begin:end])
+            if new is None:  # fails its rule: other values may begin within it
+                at = m.start() + 1
+                continue
+            out += [text[done:begin], new]
+            done = at = end
             found[kind] = found.get(kind, 0) + 1
-            return out
-
-        return PATTERN.sub(new, text), found
+        return "".join([*out, text[done:]]), found
 
 
 def pseudonymise(docs: DataFrame, key: str = "quarrylog", reverse: bool = False, found: str | None = None) -> DataFrame:
