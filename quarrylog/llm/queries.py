@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylog.llm import bpe, langid, matroska, neardup, packing, pseudonyms, quality
+from quarrylog.llm import bpe, langid, linedup, matroska, neardup, packing, pseudonyms, quality
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op10_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linedup.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"), min_lines=2)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_packing": op2_packing,
@@ -62,6 +67,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_matroska": op5_matroska,
     "op7_langid": op7_langid,
     "op8_quality": op8_quality,
+    "op10_linedup": op10_linedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_linedup": r"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents),
+filled AS (
+  SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j
+  FROM split WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')),
+pairs AS (
+  SELECT doc_id, j, line, lead(line) OVER (PARTITION BY doc_id ORDER BY j) AS next FROM filled),
+ranked AS (
+  SELECT doc_id, j, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, j) AS r
+  FROM pairs WHERE next IS NOT NULL),
+gone AS (
+  SELECT doc_id, j FROM ranked WHERE r > 1 UNION SELECT doc_id, j + 1 FROM ranked WHERE r > 1),
+gone_lines AS (SELECT doc_id, i FROM filled JOIN gone USING (doc_id, j)),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text
+  FROM split ANTI JOIN gone_lines USING (doc_id, i) GROUP BY doc_id),
+numbers AS (
+  SELECT doc_id, count(*) AS n_lines FROM filled GROUP BY doc_id),
+removed AS (
+  SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN numbers USING (doc_id) LEFT JOIN removed USING (doc_id)
+""",
+}
