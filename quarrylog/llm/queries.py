@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylog.llm import bpe, langid, linedup, matroska, neardup, packing, pseudonyms, quality
+from quarrylog.llm import bpe, langid, linedup, matroska, neardup, packing, pseudonyms, quality, substrings
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digest(matroska.read_back(matroska.store(documents(spark, sf_dir))))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.drop_repeated_windows(documents(spark, sf_dir), window=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = langid.predict(docs, langid.sample_texts(docs.where(~langid.held_out())))
@@ -65,12 +70,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_pii": op4_pii,
     "op5_matroska": op5_matroska,
+    "op6_substrings": op6_substrings,
     "op7_langid": op7_langid,
     "op8_quality": op8_quality,
     "op10_linedup": op10_linedup,
 }
 
+def _windows_sql(window: int) -> str:
+    """Words outside the windows that also start in a document with a smaller doc_id."""
+    return rf"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (
+  SELECT doc_id, unnest(range(1, len(words) - {window - 2})) AS i FROM texts WHERE len(words) >= {window}),
+windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(words, i, i + {window - 1}), ' ') AS w FROM starts JOIN texts USING (doc_id)),
+judged AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) AS earliest FROM windows),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + {window})) AS i FROM judged WHERE earliest < doc_id),
+numbered AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM texts),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM numbered ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+removed AS (
+  SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op6_substrings": _windows_sql(13),
     "op10_linedup": r"""
 WITH split AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

@@ -130,15 +130,3 @@ def inside(first: np.ndarray, n: int, size: int) -> np.ndarray:
     counts = np.diff(first)
     return np.arange(n) + size <= np.repeat(first[1:], counts)[:n]
 
-
-def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Position of the leftmost smallest value of each window of ``width`` values."""
-    n = len(values) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    best, at = values[:n].copy(), np.zeros(n, np.int64)
-    for i in range(1, width):
-        less = values[i : i + n] < best
-        np.copyto(best, values[i : i + n], where=less)
-        at[less] = i
-    return at + np.arange(n)
