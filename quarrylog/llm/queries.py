@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylog.llm import bpe, langid, linedup, matroska, neardup, packing, pseudonyms, quality, substrings
+from quarrylog.llm import bpe, langid, linedup, matroska, neardup, packing, pseudonyms, quality, substrings, suffixes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.drop_repeated_passages(documents(spark, sf_dir), window=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linedup.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"), min_lines=2)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substrings": op6_substrings,
     "op7_langid": op7_langid,
     "op8_quality": op8_quality,
+    "op9_suffixes": op9_suffixes,
     "op10_linedup": op10_linedup,
 }
 
@@ -102,6 +108,7 @@ FROM texts LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
 
 ORACLES: dict[str, str] = {
     "op6_substrings": _windows_sql(13),
+    "op9_suffixes": _windows_sql(50),
     "op10_linedup": r"""
 WITH split AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
