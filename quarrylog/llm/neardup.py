@@ -9,11 +9,17 @@ Pagh and Pham, "Efficient estimation for high similarities using Odd sketches",
 2014.)
 
 Documents with equal sets form a class, and one document stands for it. A bucket
-is not expanded into all its pairs. In each round some of its members are
-compared with all the others and then leave; the bucket is done when what is
-left lies in one component, as no further link can change the result. So a
-bucket of n copies takes n comparisons, and no pair that could join two
-components is left out.
+is not expanded into all its pairs. In each round some of its members, its
+centres, are compared with all the others and then leave; the bucket is done
+when what is left lies in one component, as no further link can change the
+result. So a bucket of n copies takes n comparisons, and no pair that could join
+two components is left out.
+
+Buckets that are still mixed after the first round hold texts that share a
+frequent passage but little else. Their documents are grouped anew by an exact
+rule: two sets of the wanted similarity share one of the few shingles that come
+first in each when shingles are sorted by frequency, rare ones first (prefix
+filtering; Chaudhuri, Ganti and Kaushik, 2006). Such groups are small.
 
 Rows without words are linked with nothing. A null doc_id can be no component's
 id: such rows are linked with nothing, and component_id is null. Rows that
@@ -138,11 +144,20 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
+def rare_groups(sets: DataFrame, percent: int) -> DataFrame:
+    """bucket, node: nodes of sets(node, shingles) by the shingles one of which they share with any partner."""
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
+    ranked = each.join(each.groupBy("shingle").agg(F.count("*").alias("f")), "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("r"))
+    size = F.size("r")
+    wanted = F.ceil(size * percent / F.lit(100.0)).cast("int")
+    return ranked.select("node", F.explode(F.slice("r", F.lit(1), size - wanted + 1)).alias("s")).where("s.f > 1").select(F.col("s.shingle").alias("bucket"), "node")
+
+
 def xor_count() -> Column:
     return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH_COLUMNS))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands: int = 24, rows: int = 4, slack: float = 0.27, later_centres: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands: int = 24, rows: int = 4, slack: float = 0.27) -> DataFrame:
     """Components of docs(doc_id, text) under links of at least ``percent`` % Jaccard similarity.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable) and kept
@@ -168,7 +183,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands:
     side = lambda t, x: t.select(*(F.col(c).alias(f"{x}_{c}" if c != "node" else x) for c in t.columns))
     links, tested, round_, parts = None, None, 0, None
     while not members.isEmpty():
-        slot = F.lit(0) if not round_ else F.pmod(F.xxhash64("node"), F.lit(later_centres))
+        slot = F.pmod(F.xxhash64("node"), F.lit(2 * 4**round_ if round_ else 1))
         centres = members.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct((-F.col("copies")).alias("c"), "node")).alias("m")).select("bucket", F.col("m.node").alias("centre"))
         centres = scratch.save(centres, "centres")
         pairs = members.join(centres, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
@@ -186,7 +201,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands:
         rest = members.join(centres.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
         named = rest.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
         mixed = named.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
-        after = scratch.save(rest.join(mixed, "bucket", "left_semi"), "members")
+        rest = rest.join(mixed, "bucket", "left_semi")
+        if not round_:
+            unsettled = scratch.save(rest.select("node", "copies").distinct(), "unsettled")
+            rest = rare_groups(sets.join(unsettled, "node", "left_semi"), percent).join(unsettled, "node")
+        after = scratch.save(rest, "members")
         scratch.drop(members, centres)
         members, round_ = after, round_ + 1
     named = classes.select("k1", "k2", "node")
