@@ -1,18 +1,67 @@
 """From raw documents to packed training sequences.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and
-returns a DataFrame, and run() applies them in order, writing each stage's
-result as Parquet in the shared scratch folder and rereading it as the next
-one's docs.
+returns a DataFrame. run() applies them in order to the table documents, and
+writes each stage's result as Parquet in the shared scratch folder, where the
+next one reads it as its docs. All stages but the last return the columns of
+documents (and any further ones that docs has); n_chars follows the text.
+
+- language: learns from the labelled rows and drops documents in no known
+  language: without a letter, or with an entropy beyond MOST_BITS under every
+  language. Null and empty texts go here.
+- lines: drops later copies of runs of two lines or more; a document that loses
+  all its lines goes, as earlier ones hold them.
+- near_duplicates: keeps the document with the smallest doc_id of each component.
+- private: replaces personal data and secrets by pseudonyms.
+- packing: returns pieces of sequences; see quarrylog.llm.packing.
+
+Rows with a null doc_id pass all stages as documents of their own. Repeated rows
+stay repeated, as they are one document. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrylog.llm import langid, linedup, neardup, packing, pseudonyms
+from quarrylog.llm.scratch import Scratch, release
+
+#: Bits a character; text in a known language takes 3 to 5, unknown scripts over 10.
+MOST_BITS = 8.0
+
+
+def with_length(docs: DataFrame) -> DataFrame:
+    """docs with n_chars as its text has it now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = langid.predict(docs, langid.sample_texts(docs), carry=docs.columns, prefix="__")
+    return found.where(F.col("__bits") <= MOST_BITS).select(*(f"`{c}`" for c in docs.columns))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = linedup.drop_repeated_lines(docs, min_lines=2, prefix="__")
+    emptied = (F.col("__n_removed") > 0) & (F.col("__n_removed") == F.col("__n_lines"))
+    return with_length(kept.where(~emptied).select(*(f"`{c}`" for c in docs.columns)))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = neardup.near_duplicates(docs, percent=80, shingle=5).where(~F.col("kept")).select("doc_id")
+    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return with_length(pseudonyms.pseudonymise(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
 
-from quarrylog.llm.scratch import Scratch
 
-STAGES: list = []
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("private", private), ("packing", pack)]
+#: Entropies, sketches, pseudonyms and tokens are beyond SQL.
 ORACLE_SQL = None
 
 
@@ -21,4 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        release(spark)
     return docs

@@ -176,22 +176,22 @@ def _model(samples: dict[str, str]) -> Model:
     return _models[key]
 
 
-def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """doc_id, lang_pred, score, bits of each docs(doc_id, text).
+def predict(docs: DataFrame, samples: dict[str, str], carry: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """docs' columns named in ``carry`` (default: doc_id), with lang_pred, score and bits, named with ``prefix``.
 
     score is b2 / (b1 + b2) of the two lowest entropies (1 if there is one
     language), bits the lowest entropy (null for ``und``).
     """
-    names = ["doc_id", "lang_pred", "score", "bits"]
+    carry = ["doc_id"] if carry is None else carry
+    added = [prefix + c for c in ("lang_pred", "score", "bits")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(samples) if samples else None
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            at = 0
-            while at < len(ids):
+            texts, at = batch.column(batch.num_columns - 1).to_pylist(), 0
+            while at < len(texts):
                 to, held = at, 0
-                while to < len(ids) and (to == at or held < SLICE_BYTES // 2):
+                while to < len(texts) and (to == at or held < SLICE_BYTES // 2):
                     held += len(texts[to] or "")
                     to += 1
                 part = [t or "" for t in texts[at:to]]
@@ -203,10 +203,13 @@ def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
                         b = all_bits[i][best[i]]
                         lang[i], bits[i] = model.langs[best[i][0]], float(b[0])
                         score[i] = float(b[1] / (b[0] + b[1])) if len(b) > 1 else 1.0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at:to], pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=names)
+                kept = [c.slice(at, to - at) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=[*carry, *added])
                 at = to
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, bits double")
+    rows = docs.select(*(f"`{c}`" for c in carry), F.col("text").alias("__text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{kinds}, `{added[0]}` string, `{added[1]}` double, `{added[2]}` double")
 
 
 def held_out(doc_id: str = "doc_id"):
