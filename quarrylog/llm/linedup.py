@@ -70,7 +70,8 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = 2, prefix: str = "") -
     scratch = Scratch(docs.sparkSession, "linedup")
     gone = scratch.save(later_copies(docs.select("doc_id", "text"), min_lines, scratch), "gone")
     key = (F.col("doc_id") == F.col("__d")) & (F.xxhash64("text") == F.col("__v"))
-    marked = docs.join(gone.toDF("__d", "__v", "__gone"), key, "left")
+    # texts are always dealt out by key: whether the other side is small must not depend on the input
+    marked = docs.join(gone.toDF("__d", "__v", "__gone").hint("merge"), key, "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
 
     def without(found):
