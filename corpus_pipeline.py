@@ -49,7 +49,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = neardup.near_duplicates(docs, percent=80, shingle=5).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return docs.join(gone.distinct().hint("merge"), "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands:
     members = scratch.save(rows_of.join(shared, "bucket").distinct(), "members")
     nodes = members.select("node").distinct()
     sketches = scratch.save(classes.select("node", *SKETCH_COLUMNS).join(nodes, "node", "left_semi"), "sketches")
-    texts = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     sets = scratch.save(full_sets(texts, shingle).dropDuplicates(["node"]), "sets")
     side = lambda t, x: t.select(*(F.col(c).alias(f"{x}_{c}" if c != "node" else x) for c in t.columns))
     links, tested, round_, parts = None, None, 0, None

@@ -100,7 +100,7 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
                     kept.append(b" ".join(words).decode())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=names)
 
-    joined = docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", "start", "stop")
+    joined = docs.select("doc_id", "text").join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "start", "stop")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
@@ -142,7 +142,7 @@ class FingerprintIndex:
             shared = shared.unionByName(more)
         places = shared.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
         scratch = Scratch(self.spark, "substrings")
-        found = scratch.save(windows_at(texts.join(places, "doc_id"), self.window, self.gram), "windows")
+        found = scratch.save(windows_at(texts.join(places.hint("merge"), "doc_id"), self.window, self.gram), "windows")
         release(self.spark)
         least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("w1", "w2", "a")
         later = found.join(least, ["w1", "w2"]).where("doc_id > a").select("doc_id", "at")

@@ -163,7 +163,7 @@ def repeated_passages(docs: DataFrame, window: int = 50, gram: int = 10, largest
     sampled = scratch.save(retained(docs, window, gram), "retained")
     shared = sampled.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("gram")
     places = scratch.save(sampled.join(shared, "gram", "left_semi").groupBy("doc_id").agg(F.collect_set("gram").alias("grams")), "places")
-    found = scratch.save(suffixes(docs.join(places, "doc_id"), window, gram), "found")
+    found = scratch.save(suffixes(docs.join(places.hint("merge"), "doc_id"), window, gram), "found")
     scratch.drop(sampled, places)
     sizes = scratch.save(found.groupBy("gram").count(), "sizes")
     few = found.join(sizes.where(F.col("count") <= largest), "gram", "left_semi")
