@@ -10,6 +10,11 @@ Fingerprints that two documents share lead back to the texts, whose windows at
 just these places are compared by 128-bit hashes of all their words. When runs
 reach ``fanout``, they are compacted into one.
 
+Exact copies of earlier texts are set aside first: all their windows start in the
+original, so they need no fingerprints, and neither do texts that nothing but
+their copies repeat. The other texts are kept bucketed by doc_id, so that looking
+at windows and cutting words takes no further shuffle of texts.
+
 Batches are taken in the order of doc_id, so that what a document repeats is
 either in the runs or in its own batch. A word goes if a window covers it that
 also starts in a document with a smaller doc_id; windows are judged on the input.
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -74,10 +80,11 @@ def windows_at(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.select("doc_id", "text", "fps").mapInArrow(run, "doc_id long, at int, w1 long, w2 long")
 
 
-def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def without_spans(docs: DataFrame, spans: DataFrame, window: int = 1) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the words of docs(doc_id, text) outside spans(doc_id, start, stop), joined by blanks.
 
     spans gives for each doc_id lists of first words and of words after the last.
+    Where docs has a column copy that is true, all words go if there are ``window`` of them.
     """
     names = ["doc_id", "n_words", "n_removed", "kept"]
 
@@ -86,10 +93,12 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             for i in range(0, big.num_rows, 500):
                 batch = big.slice(i, 500)
                 sizes, gone, kept = [], [], []
-                for text, start, stop in zip(batch.column("text"), batch.column("start"), batch.column("stop"), strict=True):
+                for text, copy, start, stop in zip(*(batch.column(c) for c in ("text", "copy", "start", "stop")), strict=True):
                     words = (text.as_py() or "").encode().split()
                     n = len(words)
-                    if start.is_valid and n:
+                    if copy.as_py() and n >= window:
+                        words = []
+                    elif start.is_valid and n:
                         cover = np.zeros(n + 1, np.int64)
                         np.add.at(cover, np.asarray(start.values), 1)
                         np.add.at(cover, np.asarray(stop.values), -1)
@@ -100,97 +109,111 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
                     kept.append(b" ".join(words).decode())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=names)
 
-    joined = docs.select("doc_id", "text").join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "start", "stop")
+    copy = F.col("copy") if "copy" in docs.columns else F.lit(False).alias("copy")
+    joined = docs.select("doc_id", "text", copy).join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "copy", "start", "stop")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
-class FingerprintIndex:
-    """Runs of postings in a folder; each run a table of the session, bucketed and sorted by fingerprint."""
+def exact_copies(docs: DataFrame) -> DataFrame:
+    """doc_id of texts that a smaller doc_id has too."""
+    heads = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"))
+    groups = heads.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b")
+    return heads.join(groups, ["h1", "h2"]).where("doc_id > a").select("doc_id").distinct()
 
-    def __init__(self, spark: SparkSession, folder: str, window: int = 13, gram: int = 5, buckets: int | None = None, fanout: int = 2):
-        self.spark, self.folder, self.window, self.gram, self.fanout = spark, folder, window, gram, fanout
+
+class Bucketed:
+    """Tables of the session in a folder, dealt into the same number of buckets by a key and sorted by it."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
+        self.spark, self.folder = spark, folder
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.runs: list[str] = []
 
-    def _write(self, postings: DataFrame) -> str:
+    def write(self, df: DataFrame, key: str) -> str:
         name = f"run_{uuid.uuid4().hex[:12]}"
-        dealt = postings.repartition(self.buckets, "fp")
-        dealt.write.bucketBy(self.buckets, "fp").sortBy("fp").option("compression", "zstd").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        dealt = df.repartition(self.buckets, key)
+        dealt.write.bucketBy(self.buckets, key).sortBy(key).option("compression", "zstd").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        release(self.spark)
         return name
 
-    def _discard(self, name: str) -> None:
+    def drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove(self.spark, f"{self.folder}/{name}")
 
-    def add(self, batch: DataFrame, history: DataFrame | None) -> DataFrame:
+
+class FingerprintIndex:
+    """Immutable runs of postings (fp, doc_id), newest last."""
+
+    def __init__(self, spark: SparkSession, folder: str, window: int = 13, gram: int = 5, buckets: int | None = None, fanout: int = 2):
+        self.spark, self.window, self.gram, self.fanout = spark, window, gram, fanout
+        self.tables = Bucketed(spark, folder, buckets)
+        self.runs: list[str] = []
+
+    def _merged(self, fresh: bool = False) -> DataFrame:
+        """All runs; with fresh, a column that marks the newest. The union keeps their buckets."""
+        parts = [self.spark.table(name) for name in self.runs]
+        if fresh:
+            parts = [p.withColumn("fresh", F.lit(i == len(parts) - 1)) for i, p in enumerate(parts)]
+        return reduce(DataFrame.unionByName, parts)
+
+    def add(self, batch: DataFrame, texts: DataFrame) -> DataFrame:
         """Index batch(doc_id, text) and return doc_id, at: its windows that start in an earlier document.
 
-        history has the texts of all documents added before.
+        texts has the texts of all documents added so far, this batch included.
         """
-        run = self._write(fingerprints(batch, self.window, self.gram))
-        new = self.spark.table(run)
-        seen = new.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-        inner = seen.where("a <> b").select("fp")
-        members, texts = [new.join(inner, "fp", "left_semi")], batch.select("doc_id", "text")
-        for old in map(self.spark.table, self.runs):
-            both = new.join(old.select("fp").distinct(), "fp", "left_semi")
-            members += [both, old.join(seen.select("fp"), "fp", "left_semi")]
-        if self.runs:
-            texts = texts.unionByName(history.select("doc_id", "text"))
-        shared = members[0]
-        for more in members[1:]:
-            shared = shared.unionByName(more)
-        places = shared.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
+        before = bool(self.runs)
+        self.runs.append(self.tables.write(fingerprints(batch, self.window, self.gram), "fp"))
+        merged = self._merged(True)
+        shared = merged.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("fresh").alias("now")).where("a <> b AND now").select("fp")
         scratch = Scratch(self.spark, "substrings")
-        found = scratch.save(windows_at(texts.join(places.hint("merge"), "doc_id"), self.window, self.gram), "windows")
-        release(self.spark)
+        places = scratch.save(merged.join(shared.hint("merge"), "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "places")
+        found = scratch.save(windows_at(texts.select("doc_id", "text").join(places.hint("merge"), "doc_id"), self.window, self.gram), "windows")
+        scratch.drop(places)
         least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("w1", "w2", "a")
         later = found.join(least, ["w1", "w2"]).where("doc_id > a").select("doc_id", "at")
-        if self.runs:
+        if before:
             later = later.join(batch.select("doc_id").distinct(), "doc_id", "left_semi")
-        out = scratch.save(later, "repeats")
+        out = scratch.save(later.groupBy("doc_id").agg(F.collect_set("at").alias("start")), "repeats")
         scratch.drop(found)
-        self.runs.append(run)
         if len(self.runs) >= self.fanout:
             self.compact()
         return out
 
     def compact(self) -> None:
         """Merge all runs into one."""
-        whole = self.spark.table(self.runs[0])
-        for name in self.runs[1:]:
-            whole = whole.unionByName(self.spark.table(name))
-        merged = self._write(whole)
+        merged = self.tables.write(self._merged(), "fp")
         for name in self.runs:
-            self._discard(name)
+            self.tables.drop(name)
         self.runs = [merged]
-        release(self.spark)
 
     def close(self) -> None:
         for name in self.runs:
-            self._discard(name)
+            self.tables.drop(name)
         self.runs = []
 
 
-def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
-    """docs in n parts, by ranges of doc_id with about as many rows each."""
+def batches_of(docs: DataFrame, n: int) -> list[tuple[int | None, int | None]]:
+    """n ranges of doc_id (after, up to) with about as many rows each."""
     cuts = docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.01) if n > 1 else []
     edges = [None, *sorted({int(c) for c in cuts}), None]
-    return [docs.where(F.lit(True) if a is None else F.col("doc_id") > a).where(F.lit(True) if b is None else F.col("doc_id") <= b) for a, b in zip(edges, edges[1:], strict=False)]
+    return list(zip(edges, edges[1:], strict=False))
 
 
 def drop_repeated_windows(docs: DataFrame, window: int = 13, gram: int = 5, n_batches: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text): docs without the words that earlier documents repeat."""
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     scratch = Scratch(spark, "fingerprints")
+    known = docs.where("doc_id IS NOT NULL")
+    copies = scratch.save(exact_copies(known), "copies")
+    tables = Bucketed(spark, scratch.root)
+    marked = known.repartition(tables.buckets, "doc_id").join(copies.withColumn("c", F.lit(True)).hint("merge"), "doc_id", "left")
+    texts = spark.table(tables.write(marked.select("doc_id", "text", F.coalesce("c", F.lit(False)).alias("copy")), "doc_id"))
     index = FingerprintIndex(spark, scratch.root, window, gram)
-    found, history = None, None
-    for batch in batches_of(docs, n_batches):
-        repeats = index.add(batch, history)
-        found = repeats if found is None else found.unionByName(repeats)
-        history = batch if history is None else history.unionByName(batch)
+    found, upto = [], None
+    for low, high in batches_of(known, n_batches):
+        own = texts.where("NOT copy")
+        upto = own if high is None else own.where(F.col("doc_id") <= high)
+        found.append(index.add(upto if low is None else upto.where(F.col("doc_id") > low), upto))
     index.close()
-    spans = found.groupBy("doc_id").agg(F.collect_set("at").alias("start"))
-    spans = scratch.save(spans.select("doc_id", "start", F.transform("start", lambda x: x + window).alias("stop")), "spans")
-    release(spark)
-    return without_spans(docs, spans)
+    spans = reduce(DataFrame.unionByName, found).select("doc_id", "start", F.transform("start", lambda x: x + window).alias("stop"))
+    rest = docs.where("doc_id IS NULL")
+    return without_spans(texts, spans, window).unionByName(without_spans(rest, spans.limit(0), window))
