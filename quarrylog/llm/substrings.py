@@ -140,6 +140,15 @@ class Bucketed:
         remove(self.spark, f"{self.folder}/{name}")
 
 
+def bucketed_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, text, copy of all rows with a doc_id, bucketed by it; copy: an earlier document has the same text."""
+    known = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    copies = scratch.save(exact_copies(known), "copies")
+    tables = Bucketed(docs.sparkSession, scratch.root)
+    marked = known.repartition(tables.buckets, "doc_id").join(copies.withColumn("c", F.lit(True)).hint("merge"), "doc_id", "left")
+    return docs.sparkSession.table(tables.write(marked.select("doc_id", "text", F.coalesce("c", F.lit(False)).alias("copy")), "doc_id"))
+
+
 class FingerprintIndex:
     """Immutable runs of postings (fp, doc_id), newest last."""
 
@@ -202,11 +211,7 @@ def drop_repeated_windows(docs: DataFrame, window: int = 13, gram: int = 5, n_ba
     """doc_id, n_words, n_removed, kept (text): docs without the words that earlier documents repeat."""
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     scratch = Scratch(spark, "fingerprints")
-    known = docs.where("doc_id IS NOT NULL")
-    copies = scratch.save(exact_copies(known), "copies")
-    tables = Bucketed(spark, scratch.root)
-    marked = known.repartition(tables.buckets, "doc_id").join(copies.withColumn("c", F.lit(True)).hint("merge"), "doc_id", "left")
-    texts = spark.table(tables.write(marked.select("doc_id", "text", F.coalesce("c", F.lit(False)).alias("copy")), "doc_id"))
+    known, texts = docs.where("doc_id IS NOT NULL"), bucketed_texts(docs, scratch)
     index = FingerprintIndex(spark, scratch.root, window, gram)
     found, upto = [], None
     for low, high in batches_of(known, n_batches):

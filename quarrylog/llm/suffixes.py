@@ -8,12 +8,12 @@ are compared, and common prefixes of any two follow from those of the
 neighbours between them; matches are then extended to the left. What is matched
 over at least ``window`` words is a passage.
 
-Groups whose grams lie in one document only are left out before any text is
-read again. A group of more than ``largest`` suffixes is not brought together:
-each of its suffixes gives the hashes of the windows that select it, and equal
-hashes meet in grouped minima that Spark combines before the shuffle. This finds
-the same passages, in time that grows with the group's size and not with its
-square.
+Exact copies of earlier texts are set aside first, and groups whose grams lie in
+one document only are left out before any text is read again. A group of more
+than ``largest`` suffixes is not brought together: each of its suffixes gives the
+hashes of the windows that select it, and equal hashes meet in grouped minima
+that Spark combines before the shuffle. This finds the same passages, in time
+that grows with the group's size and not with its square.
 
 A word goes if it lies in a passage of at least ``window`` words that also
 starts in a document with a smaller doc_id. Null texts have no words; rows with
@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from quarrylog.llm import textcols as tc
 from quarrylog.llm.minimisers import selected
 from quarrylog.llm.scratch import Scratch, release
-from quarrylog.llm.substrings import without_spans
+from quarrylog.llm.substrings import bucketed_texts, without_spans
 
 U = np.uint64
 
 
 def retained(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """doc_id, gram: the distinct grams at which suffixes are retained."""
+    """doc_id, gram, n: the grams at which suffixes are retained, and how many in the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,140 +47,152 @@ def retained(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 begin, end, first = part.words()
                 _, at, grams = selected(tc.word_hashes(part.data, begin, end), first, window, gram)
                 at = np.unique(at)
-                owner = np.searchsorted(first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(ids[part.first + owner]), pa.array(grams[at].view(np.int64))], names=["doc_id", "gram"])
+                owner, keys = np.searchsorted(first, at, "right") - 1, grams[at].view(np.int64)
+                order = np.lexsort((keys, owner))
+                owner, keys = owner[order], keys[order]
+                new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1]))[: len(owner)])
+                sizes = np.diff(np.append(new, len(owner)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part.first + owner[new]]), pa.array(keys[new]), pa.array(sizes.astype(np.int64))], names=["doc_id", "gram", "n"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, gram long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, gram long, n long")
 
 
-SUFFIX = "gram long, doc_id long, at int, low int, high int, left binary, right binary"
+FOUND = {"doc_id": pa.int64(), "gram": pa.int64(), "at": pa.int32(), "left": pa.binary(), "right": pa.binary(), "w1": pa.int64(), "w2": pa.int64()}
 
 
-def suffixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """The retained suffixes of docs(doc_id, text, grams) whose gram is among grams.
+def found_at(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """What is found in docs(doc_id, text, few, many) at retained suffixes whose gram is among few or many.
 
-    at: the suffix's first word; low, high: the first and last start of a window
-    that selects it; left: hashes of the words before it, nearest first; right:
-    of those that follow. Both reach as far as such windows can.
+    For few: the suffix's first word (at), the words before it as hashes, nearest
+    first (left), and those from it on (right), as far as windows that hold the gram
+    reach. For many: start (at) and hashes (w1, w2) of each window that selects it.
     """
-    names = ["gram", "doc_id", "at", "low", "high", "left", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column("doc_id").cast(pa.int64()), np.int64)
-            wanted = batch.column("grams")
+            few, many = batch.column("few"), batch.column("many")
+            listed = lambda x: np.asarray(x.values) if x.is_valid else np.zeros(0, np.int64)
             for part in tc.slices(batch.column("text")):
                 begin, end, first = part.words()
                 words = tc.word_hashes(part.data, begin, end)
                 starts, at, grams = selected(words, first, window, gram)
                 keys, edge = grams.view(np.int64), np.searchsorted(starts, first)
-                cols: list[list] = [[] for _ in names]
+                rows: list[tuple] = []
+                hot = np.zeros(len(starts), bool)
                 for i in range(part.n):
                     a, b = edge[i], edge[i + 1]
                     if a == b:
                         continue
-                    places, to = np.unique(at[a:b], return_index=True)
-                    stops = np.append(to[1:], b - a) - 1
-                    hit = np.isin(keys[places], np.asarray(wanted[part.first + i].values))
-                    for p, low, high in zip(places[hit].tolist(), starts[a + to[hit]].tolist(), starts[a + stops[hit]].tolist(), strict=True):
-                        f, end_ = first[i], first[i + 1]
+                    places = np.unique(at[a:b])
+                    f, stop = first[i], first[i + 1]
+                    for p in places[np.isin(keys[places], listed(few[part.first + i]))].tolist():
                         left = words[max(f, p - window + gram) : p][::-1]
-                        row = (keys[p], ids[part.first + i], p - f, low - f, high - f, left.tobytes(), words[p : min(end_, p + window)].tobytes())
-                        for c, v in zip(cols, row, strict=True):
-                            c.append(v)
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    return docs.select("doc_id", "text", "grams").mapInArrow(run, SUFFIX)
-
-
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the common prefix."""
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
-
-
-def passages_in_group(members: list[tuple], window: int) -> Iterator[tuple[int, int, int]]:
-    """(doc_id, start, stop) of passages of members (doc_id, at, left, right) that an earlier document holds too."""
-    lefts = [np.frombuffer(m[2], U) for m in members]
-    rights = [np.frombuffer(m[3], U) for m in members]
-    order = sorted(range(len(members)), key=lambda i: rights[i].tolist())
-    near = [common(rights[a], rights[b]) for a, b in zip(order, order[1:], strict=False)]
-    for i, a in enumerate(order):
-        ahead = len(rights[a])
-        for j in range(i + 1, len(order)):
-            ahead = min(ahead, near[j - 1])
-            b = order[j]
-            if members[a][0] == members[b][0]:
-                continue
-            back = common(lefts[a], lefts[b])
-            if ahead + back >= window:
-                doc, at = max(members[a][:2], members[b][:2])
-                yield doc, at - back, at + ahead
-
-
-def small_groups(grouped: DataFrame, window: int) -> DataFrame:
-    """doc_id, start, stop of the passages in grouped(members)."""
+                        rows.append((ids[part.first + i], keys[p], p - f, left.tobytes(), words[p : min(stop, p + window)].tobytes()))
+                    if many[part.first + i].is_valid:
+                        hot[a:b] = np.isin(keys[at[a:b]], listed(many[part.first + i]))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                blank = pa.nulls(len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, FOUND.values(), strict=False)), blank, blank], names=list(FOUND))
+                starts, at = starts[hot], at[hot]
+                owner = np.searchsorted(first, starts, "right") - 1
+                hashes = (pa.array(tc.gram_hashes(words, window, seed)[starts].view(np.int64)) for seed in (1, 2))
+                none = pa.nulls(len(starts), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part.first + owner]), pa.array(keys[at]), pa.array((starts - first[owner]).astype(np.int32)), none, none, *hashes], names=list(FOUND))
+
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    return docs.select("doc_id", "text", "few", "many").mapInArrow(run, ", ".join(f"{c} {kinds[k]}" for c, k in FOUND.items()))
+
+
+def padded(column: pa.Array, width: int, filler: int) -> np.ndarray:
+    """Rows of word hashes as a matrix; what is missing differs from row to row."""
+    n = len(column)
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1] // 8
+    data = np.frombuffer(column.buffers()[2], U) if column.buffers()[2] is not None else np.zeros(0, U)
+    sizes = np.diff(offsets)
+    out = np.repeat((np.arange(n, dtype=U) * U(2) + U(filler))[:, None], width, axis=1)
+    row, col = np.repeat(np.arange(n), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[row, col] = data[offsets[0] : offsets[-1]]
+    return out
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each pair of rows."""
+    differ = a != b
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+
+
+def matches(batch: pa.RecordBatch, window: int, gram: int) -> pa.RecordBatch:
+    """doc_id, start, stop of the passages in whole groups of suffixes."""
+    docs, keys, at = (np.asarray(batch.column(c)) for c in ("doc_id", "gram", "at"))
+    right, left = padded(batch.column("right"), window, 0), padded(batch.column("left"), window - gram, 1)
+    text = np.concatenate([keys.view(U)[:, None], right], axis=1).astype(">u8", order="C")
+    order = np.argsort(text.view(f"S{text.shape[1] * 8}").ravel(), kind="stable")
+    docs, keys, at, right, left = docs[order], keys[order], at[order], right[order], left[order]
+    near = agreement(right[:-1], right[1:])
+    ahead, found, step = np.full(len(docs), window), [], 1
+    while step < len(docs):
+        same = keys[step:] == keys[:-step]
+        if not same.any():
+            break
+        ahead = np.minimum(ahead[: len(docs) - step], near[step - 1 :])
+        i = np.flatnonzero(same & (docs[step:] != docs[:-step]))
+        j = i + step
+        back = agreement(left[i], left[j])
+        long = ahead[i] + back >= window
+        i, j, back, front = i[long], j[long], back[long], ahead[i[long]]
+        later = np.where(docs[i] > docs[j], i, j)
+        found.append(np.stack([docs[later], at[later] - back, at[later] + front]))
+        step += 1
+    rows = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int64)), *(pa.array(r.astype(np.int32)) for r in rows[1:])], names=["doc_id", "start", "stop"])
+
+
+def small_groups(dealt: DataFrame, window: int, gram: int, rows: int = 4000) -> DataFrame:
+    """Passages in groups of suffixes; each task has whole groups, in order of their grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
         for big in batches:
-            for i in range(0, big.num_rows, 1000):
-                found = set()
-                for members in big.slice(i, 1000).column("members").to_pylist():
-                    found.update(passages_in_group([(m["doc_id"], m["at"], m["left"], m["right"]) for m in members], window))
-                cols = list(zip(*sorted(found), strict=True)) if found else [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "start", "stop"])
-
-    return grouped.select("members").mapInArrow(run, "doc_id long, start int, stop int")
-
-
-def windows_of(found: DataFrame, window: int) -> DataFrame:
-    """doc_id, start, w1, w2: the windows that select the given suffixes."""
-    names = ["doc_id", "start", "w1", "w2"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for i in range(0, big.num_rows, 2000):
-                cols: list[list] = [[] for _ in names]
-                for r in big.slice(i, 2000).to_pylist():
-                    words = np.concatenate([np.frombuffer(r["left"], U)[::-1], np.frombuffer(r["right"], U)])
-                    base = r["at"] - len(r["left"]) // 8
-                    starts = np.arange(r["low"], r["high"] + 1)
-                    hashes = [tc.gram_hashes(words, window, seed)[starts - base].view(np.int64) for seed in (1, 2)]
-                    for c, v in zip(cols, (np.full(len(starts), r["doc_id"]), starts.astype(np.int32), *hashes), strict=True):
-                        c.append(v)
-                kinds = (np.int64, np.int32, np.int64, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, k)) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    return found.select("doc_id", "at", "low", "high", "left", "right").mapInArrow(run, "doc_id long, start int, w1 long, w2 long")
-
-
-def repeated_passages(docs: DataFrame, window: int = 50, gram: int = 10, largest: int = 16) -> DataFrame:
-    """doc_id, start, stop (word numbers): passages that also start in an earlier document; they may overlap."""
-    docs = docs.select("doc_id", "text")
-    scratch = Scratch(docs.sparkSession, "suffixes")
-    sampled = scratch.save(retained(docs, window, gram), "retained")
-    shared = sampled.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("gram")
-    places = scratch.save(sampled.join(shared, "gram", "left_semi").groupBy("doc_id").agg(F.collect_set("gram").alias("grams")), "places")
-    found = scratch.save(suffixes(docs.join(places.hint("merge"), "doc_id"), window, gram), "found")
+            for i in range(0, big.num_rows, rows):
+                part = pa.Table.from_batches([big.slice(i, rows)])
+                held = part if held is None else pa.concat_tables([held, part])
+                keys = np.asarray(held.column("gram"))
+                cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
+                if cut:
+                    yield matches(held.slice(0, cut).combine_chunks().to_batches()[0], window, gram)
+                    held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield matches(held.combine_chunks().to_batches()[0], window, gram)
+
+    return dealt.select("doc_id", "gram", "at", "left", "right").mapInArrow(run, "doc_id long, start int, stop int")
+
+
+def repeated_passages(texts: DataFrame, scratch: Scratch, window: int = 50, gram: int = 10, largest: int = 16) -> DataFrame:
+    """doc_id, start, stop (word numbers) of texts' passages that also start in an earlier document; they may overlap."""
+    sampled = scratch.save(retained(texts, window, gram), "retained")
+    shared = sampled.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("n").alias("size")).where("a <> b").select("gram", (F.col("size") <= largest).alias("small"))
+    of = lambda kind: F.collect_set(F.when(F.col("small") if kind == "few" else ~F.col("small"), F.col("gram"))).alias(kind)
+    places = scratch.save(sampled.join(shared, "gram").groupBy("doc_id").agg(of("few"), of("many")), "places")
+    found = scratch.save(found_at(texts.join(places.hint("merge"), "doc_id"), window, gram), "found")
     scratch.drop(sampled, places)
-    sizes = scratch.save(found.groupBy("gram").count(), "sizes")
-    few = found.join(sizes.where(F.col("count") <= largest), "gram", "left_semi")
-    many = found.join(sizes.where(F.col("count") > largest), "gram", "left_semi")
-    groups = few.groupBy("gram").agg(F.collect_list(F.struct("doc_id", "at", "left", "right")).alias("members"))
-    near = scratch.save(small_groups(groups, window), "near")
-    release(docs.sparkSession)
-    hashed = scratch.save(windows_of(many, window), "windows")
+    dealt = found.where("w1 IS NULL").repartition("gram").sortWithinPartitions("gram")
+    near = scratch.save(small_groups(dealt, window, gram), "near")
+    release(texts.sparkSession)
+    hashed = found.where("w1 IS NOT NULL").select("doc_id", "at", "w1", "w2")
     least = hashed.groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("w1", "w2", "a")
-    far = hashed.join(least, ["w1", "w2"]).where("doc_id > a").select("doc_id", "start", (F.col("start") + window).alias("stop"))
+    far = hashed.join(least, ["w1", "w2"]).where("doc_id > a").select("doc_id", F.col("at").alias("start"), (F.col("at") + window).alias("stop"))
     return near.unionByName(far)
 
 
 def drop_repeated_passages(docs: DataFrame, window: int = 50, gram: int = 10, largest: int = 16) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text): docs without the passages that earlier documents hold."""
     scratch = Scratch(docs.sparkSession, "passages")
-    spans = repeated_passages(docs, window, gram, largest).distinct().groupBy("doc_id").agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
-    spans = scratch.save(spans, "spans")
+    texts = bucketed_texts(docs, scratch)
+    found = repeated_passages(texts.where("NOT copy"), scratch, window, gram, largest)
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("s"))
+    spans = scratch.save(spans.select("doc_id", F.col("s.start").alias("start"), F.col("s.stop").alias("stop")), "spans")
     release(docs.sparkSession)
-    return without_spans(docs.select("doc_id", "text"), spans)
+    rest = docs.select("doc_id", "text").where("doc_id IS NULL")
+    return without_spans(texts, spans, window).unionByName(without_spans(rest, spans.limit(0), window))
