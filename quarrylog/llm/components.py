@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Nodes without an edge to another node do not appear.
     """
-    now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", True)
     before = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = scratch.save(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        after = scratch.save(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "stars", True)
         scratch.drop(now)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -10,9 +10,9 @@ Pagh and Pham, "Efficient estimation for high similarities using Odd sketches",
 
 Documents with equal sets form a class, and one document stands for it. A bucket
 is not expanded into all its pairs. In each round some of its members, its
-centres, are compared with all the others and then leave; the bucket is done
-when what is left lies in one component, as no further link can change the
-result. So a bucket of n copies takes n comparisons, and no pair that could join
+centres, are compared with all the others that are not in their component, and
+then leave; the bucket is done when what is left lies in one component, as no
+further link can change the result. So a bucket of n copies takes n comparisons, and no pair that could join
 two components is left out.
 
 Buckets that are still mixed after the first round hold texts that share a
@@ -153,6 +153,19 @@ def rare_groups(sets: DataFrame, percent: int) -> DataFrame:
     return ranked.select("node", F.explode(F.slice("r", F.lit(1), size - wanted + 1)).alias("s")).where("s.f > 1").select(F.col("s.shingle").alias("bucket"), "node")
 
 
+def one_of_each(members: DataFrame) -> DataFrame:
+    """members(bucket, ...) without buckets that hold the same nodes as another one, and without those of one node."""
+    groups = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
+    chosen = groups.where("n > 1").groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return members.join(chosen, "bucket", "left_semi")
+
+
+def mixed_only(members: DataFrame) -> DataFrame:
+    """members(bucket, part, ...) of buckets with more than one part."""
+    mixed = members.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
+    return members.join(mixed, "bucket", "left_semi")
+
+
 def xor_count() -> Column:
     return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH_COLUMNS))
 
@@ -172,40 +185,45 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands:
     found = scratch.save(features(docs, shingle, bands, rows), "features")
     usable = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
     least = F.min(F.struct("doc_id", "bands", *SKETCH_COLUMNS)).alias("r")
-    classes = scratch.save(usable.groupBy("k1", "k2").agg(least, F.count("*").alias("copies")).select("k1", "k2", F.col("r.doc_id").alias("node"), "copies", F.col("r.bands").alias("bands"), *(F.col(f"r.{c}") for c in SKETCH_COLUMNS)), "classes")
-    rows_of = classes.select("node", "copies", F.explode("bands").alias("bucket"))
-    shared = rows_of.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("bucket")
-    members = scratch.save(rows_of.join(shared, "bucket").distinct(), "members")
+    size = F.min("n_shingles").alias("n")
+    classes = scratch.save(usable.groupBy("k1", "k2").agg(least, size, F.count("*").alias("copies")).select("k1", "k2", F.col("r.doc_id").alias("node"), "copies", "n", F.col("r.bands").alias("bands"), *(F.col(f"r.{c}") for c in SKETCH_COLUMNS)), "classes")
+    rows_of = classes.select("node", "copies", "n", F.explode("bands").alias("bucket"))
+    members = scratch.save(one_of_each(rows_of), "members")
     nodes = members.select("node").distinct()
     sketches = scratch.save(classes.select("node", *SKETCH_COLUMNS).join(nodes, "node", "left_semi"), "sketches")
     texts = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     sets = scratch.save(full_sets(texts, shingle).dropDuplicates(["node"]), "sets")
     side = lambda t, x: t.select(*(F.col(c).alias(f"{x}_{c}" if c != "node" else x) for c in t.columns))
     links, tested, round_, parts = None, None, 0, None
+    members = members.withColumn("part", F.col("node"))
     while not members.isEmpty():
-        slot = F.pmod(F.xxhash64("node"), F.lit(2 * 4**round_ if round_ else 1))
-        centres = members.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct((-F.col("copies")).alias("c"), "node")).alias("m")).select("bucket", F.col("m.node").alias("centre"))
-        centres = scratch.save(centres, "centres")
-        pairs = members.join(centres, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        # centres: first what has most copies, then members of a bucket's smaller components, ever more at a time
+        slot = F.pmod(F.xxhash64("node"), F.lit(2 * 8**round_ if round_ else 1))
+        sizes = members.groupBy("bucket", "part").agg(F.count("*").alias("size"))
+        first = F.struct((-F.col("copies")).alias("o"), "node") if not round_ else F.struct(F.col("size").alias("o"), "node")
+        ranked = members if not round_ else members.join(sizes, ["bucket", "part"])
+        centres = ranked.groupBy("bucket", slot.alias("slot")).agg(F.min(first).alias("m")).select("bucket", F.col("m.node").alias("node"))
+        centres = scratch.save(members.join(centres, ["bucket", "node"]).select("bucket", F.col("node").alias("centre"), F.col("part").alias("centre_part"), F.col("n").alias("centre_n")), "centres", True)
+        pairs = members.join(centres, "bucket").where(f"part <> centre_part AND 100 * least(n, centre_n) >= {percent} * greatest(n, centre_n)").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, "pairs")
+        pairs = scratch.save(pairs, "pairs", True)
         likely = pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").where(xor_count() <= limit).select("a", "b")
         both = likely.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
         common = F.size(F.array_intersect("a_shingles", "b_shingles"))
         sized = both.select("a", "b", common.alias("i"), (F.size("a_shingles") + F.size("b_shingles")).alias("n"))
-        new = scratch.save(sized.where(f"100L * i >= {percent}L * (n - i)").select("a", "b"), "links")
+        new = scratch.save(sized.where(f"100L * i >= {percent}L * (n - i)").select("a", "b"), "links", True)
         links = new if links is None else links.union(new)
         tested = pairs if tested is None else tested.union(pairs)
         parts = connected_components(links, scratch)
-        rest = members.join(centres.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
-        named = rest.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-        mixed = named.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
-        rest = rest.join(mixed, "bucket", "left_semi")
+        rest = members.drop("part").join(centres.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
         if not round_:
-            unsettled = scratch.save(rest.select("node", "copies").distinct(), "unsettled")
-            rest = rare_groups(sets.join(unsettled, "node", "left_semi"), percent).join(unsettled, "node")
-        after = scratch.save(rest, "members")
+            named = rest.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+            unsettled = scratch.save(mixed_only(named).select("node", "copies", "n").distinct(), "unsettled", True)
+            rare = scratch.save(rare_groups(sets.join(unsettled, "node", "left_semi"), percent), "rare", True)
+            rest = one_of_each(rare).join(unsettled, "node")
+        named = rest.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        after = scratch.save(mixed_only(named), "members", True)
         scratch.drop(members, centres)
         members, round_ = after, round_ + 1
     named = classes.select("k1", "k2", "node")

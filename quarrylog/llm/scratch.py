@@ -33,8 +33,14 @@ class Scratch:
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write df and return a DataFrame that reads what was written."""
+    def save(self, df: DataFrame, name: str = "t", few: bool = False) -> DataFrame:
+        """Write df and return a DataFrame that reads what was written.
+
+        few: a table that iterations read again and again; it gets no more files
+        than the cluster runs tasks at a time, twice over.
+        """
+        if few:
+            df = df.coalesce(2 * self.spark.sparkContext.defaultParallelism)
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         schema = df.schema
