@@ -136,7 +136,7 @@ class Model:
         active = np.searchsorted(-size, -np.arange(SEGMENT), "left")
         width, out = self.alphabet.size, np.zeros((len(sizes), len(self.langs)), np.int64)
         for k, table in enumerate(self.tables):
-            state, count = np.zeros(len(owner), np.int32), np.ones(len(owner), np.int32)
+            state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
             for t in range(SEGMENT):
                 n = active[t]
                 if not n:
@@ -144,12 +144,9 @@ class Model:
                 c = symbols[begin[:n] + t].astype(np.int32)
                 to = table[state[:n] * width + c]
                 missed = to == 0
-                # a phrase that begins here ends here too if the symbol is nowhere in the sample
-                count[:n] += missed & (state[:n] != 0)
-                again = table[c[missed]]
-                to[missed] = again
-                lost = np.flatnonzero(missed)[again == 0]
-                count[lost] += 1
+                # a phrase begins here: after one that has ended, or where the last cannot go on
+                count[:n] += missed | (state[:n] == 0)
+                to[missed] = table[c[missed]]
                 state[:n] = to
             out[:, k] = np.bincount(owner, count, len(sizes)).astype(np.int64)
         return out
