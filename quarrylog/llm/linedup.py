@@ -37,22 +37,25 @@ def line_ids(docs: DataFrame) -> DataFrame:
     return rows.select(*KEY, "j", F.xxhash64("line").alias("name"))
 
 
-def repeated(named: DataFrame) -> DataFrame:
-    """Positions whose name occurs at another one too, with the first of them."""
+def repeated(named: DataFrame, scratch: Scratch) -> DataFrame:
+    """Positions whose name occurs at another one too, with the first of them.
+
+    Groups are written first, so that the join can split a frequent name among tasks.
+    """
     place = F.struct(*KEY, "j")
     groups = named.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("name", "first")
-    return named.join(groups, "name")
+    return named.join(scratch.save(groups, "groups"), "name")
 
 
 def repeated_windows(docs: DataFrame, min_lines: int, scratch: Scratch) -> DataFrame:
     """Windows of ``min_lines`` lines that occur more than once: doc_id, v, j, name, first."""
-    at = scratch.save(repeated(line_ids(docs)).dropDuplicates([*KEY, "j"]), "names1")
+    at = scratch.save(repeated(line_ids(docs), scratch).dropDuplicates([*KEY, "j"]), "names1")
     length = 1
     while length < min_lines:
         step = min(length, min_lines - length)  # the last step may overlap
         after = at.select(*KEY, (F.col("j") - step).alias("j"), F.col("name").alias("next"))
         doubled = at.select(*KEY, "j", "name").join(after, [*KEY, "j"]).select(*KEY, "j", F.xxhash64("name", "next").alias("name"))
-        now = scratch.save(repeated(doubled), f"names{length + step}")
+        now = scratch.save(repeated(doubled, scratch), f"names{length + step}")
         scratch.drop(at)
         at, length = now, length + step
     return at

@@ -153,17 +153,17 @@ def rare_groups(sets: DataFrame, percent: int) -> DataFrame:
     return ranked.select("node", F.explode(F.slice("r", F.lit(1), size - wanted + 1)).alias("s")).where("s.f > 1").select(F.col("s.shingle").alias("bucket"), "node")
 
 
-def one_of_each(members: DataFrame) -> DataFrame:
+def one_of_each(members: DataFrame, scratch: Scratch) -> DataFrame:
     """members(bucket, ...) without buckets that hold the same nodes as another one, and without those of one node."""
     groups = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
     chosen = groups.where("n > 1").groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return members.join(chosen, "bucket", "left_semi")
+    return members.join(scratch.save(chosen, "chosen", True), "bucket", "left_semi")
 
 
-def mixed_only(members: DataFrame) -> DataFrame:
+def mixed_only(members: DataFrame, scratch: Scratch) -> DataFrame:
     """members(bucket, part, ...) of buckets with more than one part."""
     mixed = members.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
-    return members.join(mixed, "bucket", "left_semi")
+    return members.join(scratch.save(mixed, "mixed", True), "bucket", "left_semi")
 
 
 def xor_count() -> Column:
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands:
     size = F.min("n_shingles").alias("n")
     classes = scratch.save(usable.groupBy("k1", "k2").agg(least, size, F.count("*").alias("copies")).select("k1", "k2", F.col("r.doc_id").alias("node"), "copies", "n", F.col("r.bands").alias("bands"), *(F.col(f"r.{c}") for c in SKETCH_COLUMNS)), "classes")
     rows_of = classes.select("node", "copies", "n", F.explode("bands").alias("bucket"))
-    members = scratch.save(one_of_each(rows_of), "members")
+    members = scratch.save(one_of_each(rows_of, scratch), "members")
     nodes = members.select("node").distinct()
     sketches = scratch.save(classes.select("node", *SKETCH_COLUMNS).join(nodes, "node", "left_semi"), "sketches")
     texts = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
@@ -219,11 +219,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands:
         rest = members.drop("part").join(centres.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
         if not round_:
             named = rest.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-            unsettled = scratch.save(mixed_only(named).select("node", "copies", "n").distinct(), "unsettled", True)
+            unsettled = scratch.save(mixed_only(named, scratch).select("node", "copies", "n").distinct(), "unsettled", True)
             rare = scratch.save(rare_groups(sets.join(unsettled, "node", "left_semi"), percent), "rare", True)
-            rest = one_of_each(rare).join(unsettled, "node")
+            rest = one_of_each(rare, scratch).join(unsettled, "node")
         named = rest.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-        after = scratch.save(mixed_only(named), "members", True)
+        after = scratch.save(mixed_only(named, scratch), "members", True)
         scratch.drop(members, centres)
         members, round_ = after, round_ + 1
     named = classes.select("k1", "k2", "node")

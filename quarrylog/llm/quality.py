@@ -28,6 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylog.llm.columns import bind
 from quarrylog.llm.scratch import Scratch
 
 BLANKS = " \t\n\u000b\f\r"
@@ -50,16 +51,11 @@ def counts(docs: DataFrame) -> DataFrame:
         "doc_id", "lang", "source",
         squeezed.cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        _bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-        _bind(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))).alias("w"),
+        bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+        bind(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))).alias("w"),
     ).select("doc_id", "lang", "source", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.r").alias("n_repeat_words"))
 
 
-def _bind(value: Column, use) -> Column:
-    """use(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def repeated_words(words: Column) -> Column:
     """How many words lie in a 3-word window that occurs twice or more: equal windows meet when sorted."""
 
@@ -70,7 +66,7 @@ def repeated_words(words: Column) -> Column:
 
     window = lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))
     starts = F.sequence(F.lit(0), F.size(words) - 3)
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(_bind(F.array_sort(F.transform(starts, window)), of_sorted))
+    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(bind(F.array_sort(F.transform(starts, window)), of_sorted))
 
 
 def judged(counted: DataFrame, least_words: int = 50, most_repeated_percent: int = 50) -> DataFrame:
@@ -86,17 +82,18 @@ def judged(counted: DataFrame, least_words: int = 50, most_repeated_percent: int
     })
 
 
-def pools(rows: DataFrame, least_rows: int) -> DataFrame:
+def pools(rows: DataFrame, least_rows: int, scratch: Scratch) -> DataFrame:
     """rows with a column pool: language and source, or what they are pooled to (null: no verdict)."""
     tag = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("null"))
     rows = rows.withColumns({"l": tag("lang"), "ls": F.concat(tag("lang"), F.lit("/"), tag("source"))})
-    by_source = rows.where("NOT base_failed").groupBy("l", "ls").count()
+    by_source = scratch.save(rows.where("NOT base_failed").groupBy("l", "ls").count(), "sources")
     own = F.col("count") >= least_rows
     by_lang = by_source.where(~own).groupBy("l").agg(F.sum("count").alias("count"))
     rest = by_lang.where(~own).select(F.sum("count")).scalar()
     pooled = by_source.join(by_lang.select("l", F.col("count").alias("n_l")), "l", "left")
     pool = F.when(own, F.col("ls")).when(F.col("n_l") >= least_rows, F.col("l")).when(rest >= least_rows, F.lit("*"))
-    return rows.join(pooled.select("ls", pool.alias("pool")), "ls", "left").drop("l", "ls")
+    chosen = scratch.save(pooled.select("ls", pool.alias("pool")), "pool")
+    return rows.join(chosen, "ls", "left").drop("l", "ls")
 
 
 def _distance(centre: dict[str, Column], lower: dict[tuple[int, int], Column]) -> Column:
@@ -140,7 +137,7 @@ def robust_distances(rows: DataFrame, scratch: Scratch, share: float = 0.75, ste
     model = scratch.save(start, "start")
     for step in range(steps):
         far = _with_distance(usable, model)
-        edge = far.groupBy("pool").agg(F.percentile_approx("distance", F.lit(share), F.lit(accuracy)).alias("edge"))
+        edge = scratch.save(far.groupBy("pool").agg(F.percentile_approx("distance", F.lit(share), F.lit(accuracy)).alias("edge")), f"edge{step}")
         near = far.join(edge, "pool").where("distance <= edge")
         moments = near.groupBy("pool").agg(*(F.avg(x).alias(f"c_{x}") for x in STATISTICS), *(F.covar_pop(STATISTICS[i], STATISTICS[j]).alias(f"v_{i}_{j}") for i in range(p) for j in range(i, p)))
         scaled = moments.withColumns({f"v_{i}_{j}": CONSISTENCY * F.col(f"v_{i}_{j}") + (FLOORS[STATISTICS[i]] ** 2 if i == j else 0) for i in range(p) for j in range(i, p)})
@@ -156,6 +153,6 @@ def quality(docs: DataFrame, cutoff: float = 40.0, least_rows: int = 60, **base)
     """
     scratch = Scratch(docs.sparkSession, "quality")
     rows = scratch.save(judged(counts(docs), **base), "counts")
-    far = robust_distances(scratch.save(pools(rows, least_rows), "pools"), scratch)
+    far = robust_distances(scratch.save(pools(rows, least_rows, scratch), "pools"), scratch)
     inlier = F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & inlier).alias("kept"))

@@ -177,12 +177,13 @@ class FingerprintIndex:
         places = scratch.save(merged.join(shared.hint("merge"), "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "places")
         found = scratch.save(windows_at(texts.select("doc_id", "text").join(places.hint("merge"), "doc_id"), self.window, self.gram), "windows")
         scratch.drop(places)
-        least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("w1", "w2", "a")
+        # written first, so that the join below can split a frequent window among tasks
+        least = scratch.save(found.groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("w1", "w2", "a"), "first")
         later = found.join(least, ["w1", "w2"]).where("doc_id > a").select("doc_id", "at")
         if before:
             later = later.join(batch.select("doc_id").distinct(), "doc_id", "left_semi")
         out = scratch.save(later.groupBy("doc_id").agg(F.collect_set("at").alias("start")), "repeats")
-        scratch.drop(found)
+        scratch.drop(found, least)
         if len(self.runs) >= self.fanout:
             self.compact()
         return out

@@ -181,7 +181,8 @@ def repeated_passages(texts: DataFrame, scratch: Scratch, window: int = 50, gram
     near = scratch.save(small_groups(dealt, window, gram), "near")
     release(texts.sparkSession)
     hashed = found.where("w1 IS NOT NULL").select("doc_id", "at", "w1", "w2")
-    least = hashed.groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("w1", "w2", "a")
+    # written first, so that the join below can split a frequent window among tasks
+    least = scratch.save(hashed.groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("w1", "w2", "a"), "first")
     far = hashed.join(least, ["w1", "w2"]).where("doc_id > a").select("doc_id", F.col("at").alias("start"), (F.col("at") + window).alias("stop"))
     return near.unionByName(far)
 
