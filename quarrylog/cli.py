@@ -120,7 +120,7 @@ def _run(args) -> int:
     if args.magic_sets:
         from quarrylog.plans.magic import rewrite
 
-        rewrite(engine, program.query)
+        program.query = rewrite(engine, program.query)
     rows = engine.query(program.query)
     if args.dump_plan:
         print(rows._jdf.queryExecution().toString(), file=sys.stderr)

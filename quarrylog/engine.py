@@ -45,18 +45,15 @@ class Engine:
     # ---- relations and rules
 
     def add_relation(self, name: str, df: DataFrame, distinct: bool = False) -> Engine:
-        """A stored relation. Integers become 64 bits wide; rows with a null are no tuples and are left out."""
+        """A stored relation. Integers become 64 bits wide; a null is no value and fits no variable or constant."""
         cols = []
         for i, f in enumerate(df.schema.fields):
             c = F.col(f"`{f.name}`")
             wide = isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.BooleanType))
             cols.append((c.cast("int").cast("long") if isinstance(f.dataType, T.BooleanType) else c.cast("long") if wide else c).alias(f"c{i}"))
         out = df.select(*cols)
-        nullable = [f"c{i}" for i, f in enumerate(df.schema.fields) if f.nullable]
         self.columns[name] = df.columns
         self.stored[name, len(cols)] = out.distinct() if distinct else out
-        self._nullable = getattr(self, "_nullable", {})
-        self._nullable[name, len(cols)] = set(nullable)
         return self
 
     def declare(self, name: str, schema: T.StructType) -> Engine:
@@ -76,12 +73,9 @@ class Engine:
 
     def _add(self, rule: ir.Rule) -> None:
         head = rule.head
-        args, extra = [], []
-        for a in head.args:
-            if isinstance(a, ir.Wild):
-                raise ir.LogicError(f"_ in the head of {head.pred}")
-            args.append(a)
-        self.rules.setdefault(head.key, []).append(ir.Rule(ir.Atom(head.pred, tuple(args)), analysis.normal((*rule.body, *extra))))
+        if any(isinstance(a, ir.Wild) for a in head.args):
+            raise ir.LogicError(f"_ in the head of {head.pred}")
+        self.rules.setdefault(head.key, []).append(ir.Rule(head, analysis.normal(rule.body)))
 
     def columns_of(self, pred: str) -> list[str]:
         if pred in self.columns:

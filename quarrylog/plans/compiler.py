@@ -115,6 +115,8 @@ class Compiler:
                     rel = rel.where(F.col(c) == F.col(seen[a.name]))
                 else:
                     seen[a.name] = c
+                    if rel.schema[c].nullable:
+                        rel = rel.where(F.col(c).isNotNull())  # a null is no value and fits nothing
         return rel.select(*(F.col(c).alias(v) for v, c in seen.items())) if seen else rel.select(F.lit(1).alias("__one"))
 
     def join(self, cur: DataFrame | None, rel: DataFrame, bag: bool) -> DataFrame:
@@ -126,7 +128,7 @@ class Compiler:
         if cur is None:
             return rel
         if cur.columns == ["__one"]:
-            return rel if not bag else cur.crossJoin(rel).drop("__one")
+            return cur.crossJoin(rel).drop("__one") if bag else rel.join(cur.limit(1), F.lit(True), "left_semi")
         shared = [c for c in rel.columns if c in cur.columns]
         if not shared:
             return cur.crossJoin(rel)
@@ -173,6 +175,8 @@ class Compiler:
     def _rank(self, f: ir.Formula, bound: set[str], outside: set[str]) -> tuple:
         """A number that is small for what should be taken now, and 90 or more for what cannot."""
         free = ir.free_vars(f)
+        if not bound and not free and not isinstance(f, ir.Atom):
+            return (85,)  # after the first atom
         if isinstance(f, ir.Truth):
             return (0,)
         if isinstance(f, ir.Cmp):
