@@ -19,7 +19,9 @@ Buckets that are still mixed after the first round hold texts that share a
 frequent passage but little else. Their documents are grouped anew by an exact
 rule: two sets of the wanted similarity share one of the few shingles that come
 first in each when shingles are sorted by frequency, rare ones first (prefix
-filtering; Chaudhuri, Ganti and Kaushik, 2006). Such groups are small.
+filtering; Chaudhuri, Ganti and Kaushik, 2006). Shingles that no other of them
+has cannot overlap with anything, which rules out most of the remaining pairs
+before they are formed.
 
 Rows without words are linked with nothing. A null doc_id can be no component's
 id: such rows are linked with nothing, and component_id is null. Rows that
@@ -145,12 +147,17 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def rare_groups(sets: DataFrame, percent: int) -> DataFrame:
-    """bucket, node: nodes of sets(node, shingles) by the shingles one of which they share with any partner."""
+    """bucket, node, m: nodes of sets(node, shingles) by the shingles one of which they share with any partner.
+
+    m: how many of the node's shingles any other node has; no overlap can be larger.
+    """
     each = sets.select("node", F.explode("shingles").alias("shingle"))
     ranked = each.join(each.groupBy("shingle").agg(F.count("*").alias("f")), "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("r"))
     size = F.size("r")
     wanted = F.ceil(size * percent / F.lit(100.0)).cast("int")
-    return ranked.select("node", F.explode(F.slice("r", F.lit(1), size - wanted + 1)).alias("s")).where("s.f > 1").select(F.col("s.shingle").alias("bucket"), "node")
+    shared = F.size(F.filter("r", lambda s: s["f"] > 1))
+    first = ranked.select("node", shared.alias("m"), F.explode(F.slice("r", F.lit(1), size - wanted + 1)).alias("s"))
+    return first.where("s.f > 1").select(F.col("s.shingle").alias("bucket"), "node", "m")
 
 
 def one_of_each(members: DataFrame, scratch: Scratch) -> DataFrame:
@@ -195,7 +202,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands:
     sets = scratch.save(full_sets(texts, shingle).dropDuplicates(["node"]), "sets")
     side = lambda t, x: t.select(*(F.col(c).alias(f"{x}_{c}" if c != "node" else x) for c in t.columns))
     links, tested, round_, parts = None, None, 0, None
-    members = members.withColumn("part", F.col("node"))
+    members = members.withColumns({"part": F.col("node"), "m": F.col("n")})
     while not members.isEmpty():
         # centres: first what has most copies, then members of a bucket's smaller components, ever more at a time
         slot = F.pmod(F.xxhash64("node"), F.lit(2 * 8**round_ if round_ else 1))
@@ -203,8 +210,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands:
         first = F.struct((-F.col("copies")).alias("o"), "node") if not round_ else F.struct(F.col("size").alias("o"), "node")
         ranked = members if not round_ else members.join(sizes, ["bucket", "part"])
         centres = ranked.groupBy("bucket", slot.alias("slot")).agg(F.min(first).alias("m")).select("bucket", F.col("m.node").alias("node"))
-        centres = scratch.save(members.join(centres, ["bucket", "node"]).select("bucket", F.col("node").alias("centre"), F.col("part").alias("centre_part"), F.col("n").alias("centre_n")), "centres", True)
-        pairs = members.join(centres, "bucket").where(f"part <> centre_part AND 100 * least(n, centre_n) >= {percent} * greatest(n, centre_n)").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        centres = scratch.save(members.join(centres, ["bucket", "node"]).select("bucket", F.col("node").alias("centre"), F.col("part").alias("centre_part"), F.col("n").alias("centre_n"), F.col("m").alias("centre_m")), "centres", True)
+        pairs = members.join(centres, "bucket").where(f"part <> centre_part AND {100 + percent} * least(m, centre_m) >= {percent} * (n + centre_n)").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, "pairs", True)
