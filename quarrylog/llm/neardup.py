@@ -19,9 +19,9 @@ Buckets that are still mixed after the first round hold texts that share a
 frequent passage but little else. Their documents are grouped anew by an exact
 rule: two sets of the wanted similarity share one of the few shingles that come
 first in each when shingles are sorted by frequency, rare ones first (prefix
-filtering; Chaudhuri, Ganti and Kaushik, 2006). Shingles that no other of them
-has cannot overlap with anything, which rules out most of the remaining pairs
-before they are formed.
+filtering; Chaudhuri, Ganti and Kaushik, 2006). How many shingles follow a first
+common one bounds the overlap, which rules out most of the remaining pairs before
+they are formed.
 
 Rows without words are linked with nothing. A null doc_id can be no component's
 id: such rows are linked with nothing, and component_id is null. Rows that
@@ -147,23 +147,24 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def rare_groups(sets: DataFrame, percent: int) -> DataFrame:
-    """bucket, node, m: nodes of sets(node, shingles) by the shingles one of which they share with any partner.
+    """bucket, node, m, f: nodes of sets(node, shingles) by the shingles one of which they share with any partner.
 
-    m: how many of the node's shingles any other node has; no overlap can be larger.
+    Shingles are ordered by frequency f, then by value. m: how many of the node's
+    shingles come from this one on; two sets whose first common shingle this is have
+    no larger overlap (the positional filter of Xiao et al., 2008).
     """
     each = sets.select("node", F.explode("shingles").alias("shingle"))
     ranked = each.join(each.groupBy("shingle").agg(F.count("*").alias("f")), "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("r"))
     size = F.size("r")
     wanted = F.ceil(size * percent / F.lit(100.0)).cast("int")
-    shared = F.size(F.filter("r", lambda s: s["f"] > 1))
-    first = ranked.select("node", shared.alias("m"), F.explode(F.slice("r", F.lit(1), size - wanted + 1)).alias("s"))
-    return first.where("s.f > 1").select(F.col("s.shingle").alias("bucket"), "node", "m")
+    first = ranked.select("node", size.alias("n"), F.posexplode(F.slice("r", F.lit(1), size - wanted + 1)).alias("i", "s"))
+    return first.where("s.f > 1").select(F.col("s.shingle").alias("bucket"), "node", (F.col("n") - F.col("i")).alias("m"), F.col("s.f").alias("f"))
 
 
 def one_of_each(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """members(bucket, ...) without buckets that hold the same nodes as another one, and without those of one node."""
-    groups = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
-    chosen = groups.where("n > 1").groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
+    """members(bucket, node, f) without buckets of one node, and without those that hold the same nodes as one that comes before them in order of f."""
+    groups = members.groupBy("bucket").agg(F.min("f").alias("f"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
+    chosen = groups.where("n > 1").groupBy("n", "s", "x").agg(F.min(F.struct("f", "bucket")).alias("b")).select("b.bucket")
     return members.join(scratch.save(chosen, "chosen", True), "bucket", "left_semi")
 
 
@@ -195,7 +196,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands:
     size = F.min("n_shingles").alias("n")
     classes = scratch.save(usable.groupBy("k1", "k2").agg(least, size, F.count("*").alias("copies")).select("k1", "k2", F.col("r.doc_id").alias("node"), "copies", "n", F.col("r.bands").alias("bands"), *(F.col(f"r.{c}") for c in SKETCH_COLUMNS)), "classes")
     rows_of = classes.select("node", "copies", "n", F.explode("bands").alias("bucket"))
-    members = scratch.save(one_of_each(rows_of, scratch), "members")
+    members = scratch.save(one_of_each(rows_of.withColumn("f", F.lit(0)), scratch).drop("f"), "members")
     nodes = members.select("node").distinct()
     sketches = scratch.save(classes.select("node", *SKETCH_COLUMNS).join(nodes, "node", "left_semi"), "sketches")
     texts = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
@@ -205,7 +206,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands:
     members = members.withColumns({"part": F.col("node"), "m": F.col("n")})
     while not members.isEmpty():
         # centres: first what has most copies, then members of a bucket's smaller components, ever more at a time
-        slot = F.pmod(F.xxhash64("node"), F.lit(2 * 8**round_ if round_ else 1))
+        slot = F.pmod(F.xxhash64("node"), F.lit(64**round_))
         sizes = members.groupBy("bucket", "part").agg(F.count("*").alias("size"))
         first = F.struct((-F.col("copies")).alias("o"), "node") if not round_ else F.struct(F.col("size").alias("o"), "node")
         ranked = members if not round_ else members.join(sizes, ["bucket", "part"])
@@ -228,7 +229,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands:
             named = rest.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
             unsettled = scratch.save(mixed_only(named, scratch).select("node", "copies", "n").distinct(), "unsettled", True)
             rare = scratch.save(rare_groups(sets.join(unsettled, "node", "left_semi"), percent), "rare", True)
-            rest = one_of_each(rare, scratch).join(unsettled, "node")
+            rest = one_of_each(rare, scratch).drop("f").join(unsettled, "node")
         named = rest.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
         after = scratch.save(mixed_only(named, scratch), "members", True)
         scratch.drop(members, centres)
