@@ -10,8 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylog.library import bridge, relations
+from quarrylog.library.code import code_engine
+from quarrylog.operators import statistics
+from quarrylog.plans.magic import rewrite
+from quarrylog.ql.datalog import parse_program
 from quarrylog.ql.lower import lower_module
-from quarrylog.sources.tables import TEST_TABLES, engine_over
+from quarrylog.sources.tables import TEST_TABLES, engine_over, read_table
 
 FLAGSHIP = "join_three_way"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +179,93 @@ objects("ql_predicates", 'predicate large(int p, int s) { part(p, _, _, _, s, _)
 objects("ql_modules", 'module Geo { module Names { predicate region(int k, string n) { region_(k, n) } predicate region_(int k, string n) { nation(_, _, k) and n = "r" + k } } predicate pair(int k, string n) { Names::region(k, n) } } from int k, string n where Geo::pair(k, n) select k as "k", n as "n"', "SELECT DISTINCT n_regionkey::BIGINT AS k, 'r' || n_regionkey AS n FROM nation")
 objects("ql_closure", 'predicate step(int a, int b) { supplier(a, _, _, _) and b = a * 2 and supplier(b, _, _, _) } class Source extends int { Source() { supplier(this, _, _, _) and this < 4 } int getNext() { step(this, result) } } from Source s, int t where step+(s, t) select s as "s", t as "t"', "WITH RECURSIVE step AS (SELECT s_suppkey a, s_suppkey * 2 b FROM supplier WHERE s_suppkey * 2 IN (SELECT s_suppkey FROM supplier)), path AS (SELECT * FROM step UNION SELECT p.a, s.b FROM path p JOIN step s ON p.b = s.a) SELECT a AS s, b AS t FROM path WHERE a < 4")
 objects("ql_aggregate", _CLASSES + 'from int r where r = any_region() select r as "r", count(Nation n | n.getRegion() = r) as "n" int any_region() { nation(_, _, result) }', "SELECT n_regionkey::BIGINT AS r, count(*) AS n FROM nation GROUP BY 1")
+
+# ---- derived relations over code facts, with facts made from the test tables
+
+
+def code(name: str, facts: dict[str, tuple[str, str, str]], program: str, sql: str, ql: bool = False) -> None:
+    """Register a program over code relations; facts: {relation: (table, expressions, condition)}."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        given = {}
+        for relation, (table, columns, where) in facts.items():
+            picked = read_table(spark, sf_dir, table).where(where).selectExpr(*columns.split("; "))
+            given[relation] = picked.toDF(*relations.schema(relation).names)
+        engine = code_engine(spark, given)
+        if not ql:
+            return engine.query(program)
+        parsed = lower_module(program, bridge.Loader(), relations.entity)
+        return engine.add_rules(parsed.rules).query(parsed.query)
+
+    QUERIES[name] = run
+    ORACLES[name] = sql
+
+
+_DOUBLE = ("supplier", "s_suppkey; s_suppkey * 2", "s_suppkey < 200")
+_DOUBLED = "step AS (SELECT s_suppkey a, s_suppkey * 2 b FROM supplier WHERE s_suppkey < 200)"
+code("lib_call_target", {"CallCalleeSym": ("lineitem", "l_orderkey; l_partkey", "true"), "FunctionSymbol": ("part", "p_partkey; p_size", "true")},
+     'select c as "call", f as "fn" where CallTarget(c, f).', "SELECT DISTINCT l_orderkey AS call, p_size::BIGINT AS fn FROM lineitem JOIN part ON l_partkey = p_partkey")
+code("lib_virtual_calls", {
+    "MethodCall": ("orders", "o_orderkey; o_custkey; o_orderpriority", "true"), "ExprType": ("customer", "c_custkey; c_nationkey", "true"), "InterfaceDecl": ("nation", "n_nationkey; n_name; 0", "n_nationkey < 10"),
+    "Implements": ("nation", "n_nationkey + 100; n_nationkey", "true"), "NewExpr": ("nation", "n_nationkey; n_nationkey + 100", "n_nationkey % 2 = 0"), "MethodDecl": ("nation", "n_nationkey + 100; '1-URGENT'; n_nationkey + 500", "true"),
+}, 'select c as "call", f as "fn" where CallTargetRTA(c, f).',
+     "SELECT o_orderkey AS call, c_nationkey::BIGINT + 500 AS fn FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND c_nationkey < 10 AND c_nationkey % 2 = 0")
+code("lib_inherited_methods", {
+    "ClassDecl": ("supplier", "s_suppkey; s_name; 0", "true"), "Extends": ("supplier", "s_suppkey * 2; s_suppkey", "s_suppkey < 200"),
+    "MethodDecl": ("supplier", "s_suppkey; concat('m', s_nationkey); s_suppkey", "s_suppkey % 3 > 0"),
+}, 'select c as "c", m as "m", f as "f" where MethodDeclInherited(c, m, f).',
+     f"""WITH RECURSIVE {_DOUBLED}, own AS (SELECT s_suppkey c, 'm' || s_nationkey m FROM supplier WHERE s_suppkey % 3 > 0),
+     found AS (SELECT b c, m, a f FROM step JOIN own ON c = a WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.c = b AND o.m = own.m)
+       UNION SELECT b, m, f FROM found JOIN step ON c = a WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.c = b AND o.m = found.m)) SELECT c, m, f FROM found""")
+code("lib_flow_star", {"AdditionalFlowStep": _DOUBLE, "AdditionalTaintStep": ("supplier", "s_suppkey; s_suppkey * 3", "s_suppkey < 40")},
+     'select a as "a", b as "b" where FlowStar(a, b).',
+     "WITH RECURSIVE step AS (SELECT s_suppkey a, s_suppkey * 2 b FROM supplier WHERE s_suppkey < 200 UNION SELECT s_suppkey, s_suppkey * 3 FROM supplier WHERE s_suppkey < 40), path AS (SELECT a, b FROM step UNION SELECT p.a, s.b FROM path p JOIN step s ON p.b = s.a) SELECT a, b FROM path")
+code("lib_local_flow", {"Assign": ("supplier", "0; s_suppkey; s_suppkey * 2", "s_suppkey < 200"), "ExprMayRef": ("supplier", "s_suppkey; s_suppkey", "true"), "SymInFunction": ("supplier", "s_suppkey; 1", "true")},
+     'select a as "a", b as "b" where LocalFlowStar(1, a, b).',
+     "WITH RECURSIVE step AS (SELECT s_suppkey a, s_suppkey * 2 b FROM supplier WHERE s_suppkey < 200 AND s_suppkey * 2 IN (SELECT s_suppkey FROM supplier)), path AS (SELECT a, b FROM step UNION SELECT p.a, s.b FROM path p JOIN step s ON p.b = s.a) SELECT a, b FROM path")
+code("lib_taint_alert", {
+    "TaintSource": ("supplier", "s_suppkey; 'in'", "s_suppkey < 8"), "TaintSink": ("supplier", "s_suppkey; 'sql'", "s_suppkey % 3 = 0"), "ExprMayRef": ("supplier", "s_suppkey; s_suppkey", "true"),
+    "AdditionalTaintStep": _DOUBLE, "SymbolType": ("supplier", "s_suppkey; s_nationkey", "true"), "NonTaintableType": ("nation", "n_nationkey", "n_nationkey < 5"),
+}, 'select a as "src", b as "sink", k as "kind", w as "what" where TaintAlert(a, b, k, w).',
+     f"""WITH RECURSIVE {_DOUBLED}, flow AS (SELECT a, b FROM step UNION SELECT p.a, s.b FROM flow p JOIN step s ON p.b = s.a),
+     tainted AS (SELECT s_suppkey s FROM supplier WHERE s_suppkey < 8 UNION SELECT b FROM tainted JOIN flow ON s = a WHERE b NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5))
+     SELECT x.s_suppkey AS src, s AS sink, 'in' AS kind, 'sql' AS what FROM tainted JOIN supplier y ON y.s_suppkey = s JOIN supplier x ON x.s_suppkey < 8 WHERE s % 3 = 0""")
+code("lib_param_binding", {
+    "CallCalleeSym": ("orders", "o_orderkey; o_custkey", "true"), "FunctionSymbol": ("customer", "c_custkey; c_custkey", "true"), "CallArg": ("lineitem", "l_orderkey; l_linenumber; l_partkey", "true"),
+    "Parameter": ("customer", "c_custkey; 2; c_name; 0; c_custkey + 1000; ''", "true"), "CallArgSpread": ("lineitem", "l_orderkey; l_linenumber", "l_returnflag = 'R'"), "ParameterRest": ("customer", "c_custkey; 2", "c_nationkey < 3"),
+}, 'select f as "f", s as "s", e as "e" where ParamBinding(f, 2, s, e).',
+     """SELECT DISTINCT o_custkey AS f, o_custkey + 1000 AS s, l_partkey AS e FROM orders JOIN lineitem l ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey
+     WHERE l_linenumber = 2 AND c_nationkey >= 3 AND NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey = l.l_orderkey AND x.l_linenumber = 2 AND x.l_returnflag = 'R')""")
+code("lib_may_resolve_to", {"ExprValueSource": ("supplier", "s_suppkey; s_suppkey", "s_suppkey < 20"), "Await": ("supplier", "s_suppkey * 2; s_suppkey", "s_suppkey < 200")},
+     'select v as "v", s as "s" where MayResolveTo(v, s).',
+     f"WITH RECURSIVE {_DOUBLED}, found AS (SELECT s_suppkey v, s_suppkey s FROM supplier WHERE s_suppkey < 20 UNION SELECT b, s FROM found JOIN step ON v = a) SELECT v, s FROM found")
+code("lib_classes", {"Function": ("part", "p_partkey; p_name; p_size % 2; 0; 0; 0", "true"), "Parameter": ("lineitem", "l_partkey; l_linenumber; l_returnflag; 0; 0; ''", "l_quantity < 5")},
+     'import code::functions from Function f, Parameter p where f.isArrow() and p = f.getAParameter() and p.getIndex() = 1 select f as "f", f.getName() as "name"',
+     "SELECT DISTINCT p_partkey AS f, p_name AS name FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_size % 2 = 1 AND l_quantity < 5 AND l_linenumber = 1", ql=True)
+
+# ---- statistics and demand
+
+
+def _statistic(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLES[name] = sql
+
+
+_statistic("stats_columns", lambda spark, d: statistics.compute(spark, {t: read_table(spark, d, t) for t in ("orders", "part")}).select("relation", "column", "rows", "null_fraction"),
+           "SELECT 'orders' AS relation, c AS \"column\", (SELECT count(*) FROM orders) AS rows, 0.0::DOUBLE AS null_fraction FROM unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) t(c) UNION ALL SELECT 'part', c, (SELECT count(*) FROM part), 0.0 FROM unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) t(c)")
+_statistic("stats_distinct_estimates", lambda spark, d: statistics.column_statistics("lineitem", read_table(spark, d, "lineitem")).select("column", "distinct_values", "histogram"))
+_statistic("stats_frequent_values", lambda spark, d: statistics.frequent_values(read_table(spark, d, "part"), "p_type", 32),
+           "SELECT p_type AS value, count(*) AS count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 32")
+_statistic("stats_join_selectivity", lambda spark, d: statistics.join_selectivity(read_table(spark, d, "customer"), "c_custkey", read_table(spark, d, "orders"), "o_custkey"),
+           "SELECT count(*) AS rows, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) AS matched FROM customer")
+
+
+def _demanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    program = _GRAPH + 'Path(a, b) :- Step(a, b). Path(a, c) :- Step(a, b), Path(b, c). select b as "b" where Path(1, b).'
+    parsed = parse_program(program)
+    engine = engine_over(spark, sf_dir, "supplier").add_rules(parsed.rules)
+    return engine.query(rewrite(engine, parsed.query))
+
+
+_statistic("magic_sets", _demanded, _PATH + "SELECT DISTINCT b FROM path WHERE a = 1")

@@ -97,13 +97,21 @@ class Engine:
                 raise ir.LogicError("the program has no query")
         head = ir.Atom("__query", tuple(t for t, _ in query.select))
         rule = ir.Rule(head, analysis.normal(query.body))
-        results = self._evaluate([k for k, _ in ir.dependencies(rule)])
-        rows = self._compiler(results).head(rule)
+        roots = [k for k, _ in ir.dependencies(rule)]
+        results, empty = self._evaluate(roots)
+        body = analysis.simplified(rule.body, empty)
+        if body is None and any(k not in self.declared for k in empty.intersection(self._resolve(roots))):
+            results, _ = self._evaluate(roots, prune=False)  # for the columns' types
+            body = rule.body
+        rows = self._compiler(results).head(ir.Rule(head, rule.body if body is None else body))
         return rows.toDF(*(label or f"col{i}" for i, (_, label) in enumerate(query.select)))
 
     def relation(self, name: str, arity: int) -> DataFrame:
         """A derived or stored relation, columns c0, c1, ..."""
-        return self._lookup(self._evaluate([(name, arity)]))((name, arity))
+        results, empty = self._evaluate([(name, arity)])
+        if (name, arity) in empty and (name, arity) not in self.declared:
+            results, _ = self._evaluate([(name, arity)], prune=False)
+        return self._lookup(results)((name, arity))
 
     def explain(self, query: str | ir.Query) -> str:
         """The physical plan of a query."""
@@ -136,26 +144,36 @@ class Engine:
             out.append((name, arity))
         return out
 
-    def _evaluate(self, roots) -> dict[Key, DataFrame]:
-        """Results of all derived predicates that the roots need."""
+    def _graph(self, rules: dict[Key, list[ir.Rule]], roots) -> dict[Key, set[Key]]:
+        """What each predicate that the roots need depends on."""
         graph: dict[Key, set[Key]] = {}
         todo = self._resolve(roots)
         while todo:
             key = todo.pop()
             if key not in graph:
-                graph[key] = set(self._resolve(k for r in self.rules.get(key, ()) for k, _ in ir.dependencies(r)))
+                graph[key] = set(self._resolve(k for r in rules.get(key, ()) for k, _ in ir.dependencies(r)))
                 todo += graph[key]
-        groups = analysis.components(graph)
-        analysis.check_strata(self.rules, groups)
+        return graph
+
+    def _evaluate(self, roots, prune: bool = True) -> tuple[dict[Key, DataFrame], set[Key]]:
+        """Results of all derived predicates that the roots need, and relations known to be empty without looking.
+
+        Declared relations that were not given are empty, and so is what depends on them: rules over them are left out.
+        """
+        graph = self._graph(self.rules, roots)
+        analysis.check_strata(self.rules, analysis.components(graph))
+        nothing = {k for k in graph if k in self.declared and k not in self.stored and k not in self.rules} if prune else set()
+        self._live, empty = analysis.pruned(self.rules, graph, nothing, self.stored)
+        live = self._graph(self._live, roots)
         results: dict[Key, DataFrame] = {}
-        for group in groups:
-            if not any(k in self.rules for k in group):
+        for group in analysis.components(live):
+            if not any(k in self._live for k in group):
                 continue
-            if len(group) == 1 and group[0] not in graph[group[0]]:
+            if len(group) == 1 and group[0] not in live[group[0]]:
                 results[group[0]] = self._plain(group[0], results)
             else:
                 self._fixpoint(group, results)
-        return results
+        return results, empty
 
     def _facts(self, key: Key) -> DataFrame | None:
         if key in self.stored:
@@ -171,7 +189,7 @@ class Engine:
 
     def _plain(self, key: Key, results: dict[Key, DataFrame]) -> DataFrame:
         compiler = self._compiler(results)
-        parts = [compiler.head(r) for r in self.rules[key]]
+        parts = [compiler.head(r) for r in self._live[key]]
         facts = self._facts(key)
         return self._union(parts + ([facts] if facts is not None else []))
 
@@ -182,7 +200,7 @@ class Engine:
         steps: list[tuple[Key, ir.Rule, int]] = []
         compiler = self._compiler(results)
         for key in group:
-            for rule in self.rules[key]:
+            for rule in self._live.get(key, ()):
                 for body in analysis.alternatives(rule.body):
                     r = ir.Rule(rule.head, body)
                     places = [i for i, f in enumerate(body) if isinstance(f, ir.Atom) and f.key in inside]

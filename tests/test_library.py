@@ -110,3 +110,13 @@ def test_fact_files(spark, tmp_path):
             factfile.parse(bad)
     save_relations(code_engine(spark, got), str(tmp_path / "out"), ("FieldRead", 3))
     assert read_facts(spark, str(tmp_path / "out"))["FieldRead"].first().fieldName == "f"
+
+
+def test_named_columns_of_derived_relations_and_empty_ones(spark):
+    e = code_engine(spark, facts(spark, CallCalleeSym=[(10, 20)], FunctionSymbol=[(20, 30)]))
+    assert e.query("select c, f where CallTarget(call: c, fn: f).").collect() == [(10, 30)]
+    assert e.query("select c where CallTarget(c, _), not TaintAlert(c, _, _, _).").collect() == [(10,)]
+    assert e.query("select s where TaintAlert(s, _, _, _).").collect() == []
+    assert e.query("select s where ArgSym(s, _, _).").collect() == []
+    assert e.query("select n where n = count(s | TaintAlert(s, _, _, _)).").collect() == []
+    assert e.query("select c where CallTarget(c, _), (TaintAlert(c, _, _, _) or c = 10).").collect() == [(10,)]
