@@ -234,6 +234,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands:
         after = scratch.save(mixed_only(named, scratch), "members", True)
         scratch.drop(members, centres)
         members, round_ = after, round_ + 1
+    scratch.drop(sets, sketches, members)
     named = classes.select("k1", "k2", "node")
     if parts is not None:
         named = named.join(parts, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
