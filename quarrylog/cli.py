@@ -57,6 +57,7 @@ def main(argv: list[str] | None = None) -> int:
     query.add_argument("--magic-sets", action="store_true")
     query.add_argument("--dump-plan", action="store_true")
     query.add_argument("--dump-rules", action="store_true")
+    query.add_argument("--print-rel-sizes", action="store_true", help="rows of each given relation, to standard error")
     commands.add_parser("check").add_argument("file")
     stats = commands.add_parser("stats")
     stats.add_argument("action", choices=["compute", "inspect"])
@@ -114,6 +115,9 @@ def _run(args) -> int:
     if args.dump_rules:
         print(*program.rules, sep="\n", file=sys.stderr)
     engine = _engine(spark, args).add_rules(program.rules)
+    if args.print_rel_sizes:
+        for (name, arity), df in sorted(engine.stored.items()):
+            print(f"{name}/{arity}: {df.count()}", file=sys.stderr)
     if program.query is None:
         print("error: the file has no query", file=sys.stderr)
         return 1

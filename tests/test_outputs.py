@@ -74,8 +74,9 @@ def test_command_line(spark, tmp_path, capsys):
     capsys.readouterr()
     assert cli.main(["query", str(tmp_path / "q.ql"), "--facts", str(tmp_path / "facts"), "--format", "csv"]) == 0
     assert capsys.readouterr().out == "name\nf\n"
-    assert cli.main(["query", str(tmp_path / "q.dl"), "--facts", str(tmp_path / "facts"), "--magic-sets"]) == 0
-    assert json.loads(capsys.readouterr().out) == {"col0": 1}
+    assert cli.main(["query", str(tmp_path / "q.dl"), "--facts", str(tmp_path / "facts"), "--magic-sets", "--print-rel-sizes"]) == 0
+    said = capsys.readouterr()
+    assert json.loads(said.out) == {"col0": 1} and "Function/6: 1" in said.err
     assert cli.main(["stats", "compute", "--facts", str(tmp_path / "facts"), "--output", str(tmp_path / "stats")]) == 0
     assert cli.main(["stats", "inspect", "--output", str(tmp_path / "stats")]) == 0 and "Function" in capsys.readouterr().out
 
