@@ -120,3 +120,17 @@ def test_named_columns_of_derived_relations_and_empty_ones(spark):
     assert e.query("select s where ArgSym(s, _, _).").collect() == []
     assert e.query("select n where n = count(s | TaintAlert(s, _, _, _)).").collect() == []
     assert e.query("select c where CallTarget(c, _), (TaintAlert(c, _, _, _) or c = 10).").collect() == [(10,)]
+
+
+def test_react_context(spark):
+    given = facts(
+        spark, VarDecl=[(1, 10, 100, 1), (2, 0, 101, 1), (3, 0, 102, 1)], CallCalleeSym=[(100, 90), (201, 91), (202, 12), (203, 92)], ExprIsCall=[(101, 201), (102, 202), (301, 203)],
+        ImportBinding=[(90, "react", "createContext"), (91, "react", "useState"), (92, "react", "useContext")], ArrayDestructure=[(2, 1, 11)], JsxElement=[(5, 50, 0)], FieldRead=[(50, 10, "Provider")],
+        JsxAttribute=[(5, "value", 60)], Contains=[(60, 61)], ObjectLiteralSpread=[(61, 62)], ObjectLiteralField=[(62, "set", 63)], ExprMayRef=[(63, 11), (64, 10)], FunctionSymbol=[(12, 9)], ReturnStmt=[(9, 0, 301)],
+        CallArg=[(203, 0, 64)], DestructureField=[(3, "set", "set", 13, 0)],
+    )
+    run = lambda text: sorted(map(tuple, (lambda p: code_engine(spark, given).add_rules(p.rules).query(p.query))(lower_module("import code::react " + text, bridge.Loader(), relations.entity)).collect()))
+    assert run("from int s where isUseStateSetterSym(s) select s") == [(11,)]
+    assert run("from int c, string f, int s where contextProviderField(c, f, s) select c, f, s") == [(10, "set", 11)]
+    assert run("from int c, string f, int s where contextDestructureBinding(c, f, s) select c, f, s") == [(10, "set", 13)]
+    assert run("from int s where useStateSetterAliasV2(s) select s") == [(11,), (13,)]
