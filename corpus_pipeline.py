@@ -9,8 +9,9 @@ documents (and any further ones that docs has); n_chars follows the text.
 - language: learns from the labelled rows and drops documents in no known
   language: without a letter, or with an entropy beyond MOST_BITS under every
   language. Null and empty texts go here.
-- lines: drops later copies of runs of two lines or more; a document that loses
-  all its lines goes, as earlier ones hold them.
+- lines: drops later copies of runs of two lines or more, and of single lines of
+  LINE_WORDS words or more; a document that loses all its lines goes, as earlier
+  ones hold them.
 - near_duplicates: keeps the document with the smallest doc_id of each component.
 - private: replaces personal data and secrets by pseudonyms.
 - packing: returns pieces of sequences; see quarrylog.llm.packing.
@@ -29,6 +30,8 @@ from quarrylog.llm.scratch import Scratch, release
 
 #: Bits a character; text in a known language takes 3 to 5, unknown scripts over 10.
 MOST_BITS = 8.0
+#: A repeated line of so many words goes whatever its neighbours; shorter ones (headings, labels) only within a longer run.
+LINE_WORDS = 8
 
 
 def with_length(docs: DataFrame) -> DataFrame:
@@ -42,7 +45,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = linedup.drop_repeated_lines(docs, min_lines=2, prefix="__")
+    kept = linedup.drop_repeated_lines(docs, min_lines=2, prefix="__", line_words=LINE_WORDS)
     emptied = (F.col("__n_removed") > 0) & (F.col("__n_removed") == F.col("__n_lines"))
     return with_length(kept.where(~emptied).select(*(f"`{c}`" for c in docs.columns)))
 

@@ -13,6 +13,10 @@ doc_id and position, is a later copy, and its lines go. Intervals at depth
 ``min_lines`` hold them all, as the windows of a longer repeated run repeat too;
 overlapping windows join to maximal runs. Doubling therefore ends there.
 
+With ``line_words``, a single line of that many words is a run too, whatever its
+neighbours; so is one of five times as many characters, as not every script puts
+blanks between words.
+
 Lines without a word are not part of the sequence and stay. Null texts count as
 empty. Rows with a null doc_id stay whole. Equal rows are one document; rows
 that share a doc_id but not the text are ordered by a hash of the text.
@@ -20,7 +24,7 @@ that share a doc_id but not the text are ordered by a hash of the text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylog.llm.columns import bind
@@ -28,13 +32,21 @@ from quarrylog.llm.scratch import Scratch
 
 KEY = ["doc_id", "v"]
 WORD = "[^ \\t\\n\\x0B\\f\\r]"
+BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 
 
-def line_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, v (hash of the text), j (number among the lines with a word), name (of the line)."""
+def line_ids(docs: DataFrame, line_words: int | None = None) -> DataFrame:
+    """doc_id, v (hash of the text), j (number among the lines with a word), name (of the line), and with ``line_words`` long."""
     filled = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("v"), F.posexplode(filled).alias("j", "line"))
-    return rows.select(*KEY, "j", F.xxhash64("line").alias("name"))
+    long = [] if line_words is None else [is_long(F.col("line"), line_words).alias("long")]
+    return rows.select(*KEY, "j", F.xxhash64("line").alias("name"), *long)
+
+
+def is_long(line: Column, line_words: int) -> Column:
+    """Has the line so many words, or five times as many characters that are not blanks?"""
+    words = F.size(F.filter(F.split(line, BLANKS), lambda w: w != ""))
+    return (words >= line_words) | (F.length(F.regexp_replace(line, BLANKS, "")) >= 5 * line_words)
 
 
 def repeated(named: DataFrame, scratch: Scratch) -> DataFrame:
@@ -47,9 +59,8 @@ def repeated(named: DataFrame, scratch: Scratch) -> DataFrame:
     return named.join(scratch.save(groups, "groups"), "name")
 
 
-def repeated_windows(docs: DataFrame, min_lines: int, scratch: Scratch) -> DataFrame:
-    """Windows of ``min_lines`` lines that occur more than once: doc_id, v, j, name, first."""
-    at = scratch.save(repeated(line_ids(docs), scratch).dropDuplicates([*KEY, "j"]), "names1")
+def repeated_windows(at: DataFrame, min_lines: int, scratch: Scratch) -> DataFrame:
+    """Windows of ``min_lines`` lines that occur more than once: doc_id, v, j, name, first; at has those of one line."""
     length = 1
     while length < min_lines:
         step = min(length, min_lines - length)  # the last step may overlap
@@ -61,17 +72,21 @@ def repeated_windows(docs: DataFrame, min_lines: int, scratch: Scratch) -> DataF
     return at
 
 
-def later_copies(docs: DataFrame, min_lines: int, scratch: Scratch) -> DataFrame:
+def later_copies(docs: DataFrame, min_lines: int, scratch: Scratch, line_words: int | None = None) -> DataFrame:
     """doc_id, v, gone: the numbers (among lines with a word) of each document's lines to delete."""
-    copies = repeated_windows(docs, min_lines, scratch).where(F.col("first") < F.struct(*KEY, "j"))
+    later = F.col("first") < F.struct(*KEY, "j")
+    at = scratch.save(repeated(line_ids(docs, line_words), scratch).dropDuplicates([*KEY, "j"]), "names1")
+    single = None if line_words is None else scratch.save(at.where(later & F.col("long")).select(*KEY, "j"), "single")
+    copies = repeated_windows(at, min_lines, scratch).where(later)
     spans = copies.select(*KEY, F.explode(F.sequence(F.col("j"), F.col("j") + min_lines - 1)).alias("j"))
+    spans = spans if single is None else spans.union(single)
     return spans.distinct().groupBy(*KEY).agg(F.collect_list("j").alias("gone"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_lines: int = 2, prefix: str = "") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_lines: int = 2, prefix: str = "", line_words: int | None = None) -> DataFrame:
     """docs with its column text rewritten, and columns n_lines (with a word) and n_removed, named with ``prefix``."""
     scratch = Scratch(docs.sparkSession, "linedup")
-    gone = scratch.save(later_copies(docs.select("doc_id", "text"), min_lines, scratch), "gone")
+    gone = scratch.save(later_copies(docs.select("doc_id", "text"), min_lines, scratch, line_words), "gone")
     key = (F.col("doc_id") == F.col("__d")) & (F.xxhash64("text") == F.col("__v"))
     # texts are always dealt out by key: whether the other side is small must not depend on the input
     marked = docs.join(gone.toDF("__d", "__v", "__gone").hint("merge"), key, "left")

@@ -74,6 +74,21 @@ def test_lines(spark):
         assert got == brute_lines(rows, size)
 
 
+def test_long_single_lines(spark):
+    """A long line whose neighbours differ everywhere; short lines and the first copy stay."""
+    long, cjk, short = " ".join(f"w{i}" for i in range(60)), "\u6f22" * 45, "a heading"
+    rows = [(i, f"top {i}\n{long}\nmid {i}\n{cjk}\nnext {i}\n{short}\nend {i}") for i in range(9)]
+    rows += [(20, f"{long}\nonly here\n{long}"), (21, long)]
+    got = {r.doc_id: (r.text, r.n_removed) for r in linedup.drop_repeated_lines(make(spark, rows), 2, line_words=8).collect()}
+    assert got[0] == (rows[0][1], 0)
+    assert all(got[i] == (f"top {i}\nmid {i}\nnext {i}\n{short}\nend {i}", 2) for i in range(1, 9))
+    assert got[20] == ("only here", 2) and got[21] == ("", 1)
+    import corpus_pipeline
+
+    staged = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, make(spark, rows), "").collect()}
+    assert staged == {d: t for d, (t, _) in got.items() if d != 21}
+
+
 def test_awkward_rows(spark, awkward):
     lines = linedup.drop_repeated_lines(awkward, 2, prefix="__")
     assert lines.count() == awkward.count() and lines.columns[: len(awkward.columns)] == awkward.columns
