@@ -7,8 +7,8 @@ next one reads it as its docs. All stages but the last return the columns of
 documents (and any further ones that docs has); n_chars follows the text.
 
 - language: learns from the labelled rows and drops documents in no known
-  language: without a letter, or with an entropy beyond MOST_BITS under every
-  language. Null and empty texts go here.
+  language: without a letter, or with an entropy beyond MOST_BITS (or MOST_OWN,
+  for scripts of many letters) under every language. Null and empty texts go here.
 - lines: drops later copies of runs of two lines or more, and of single lines of
   LINE_WORDS words or more; a document that loses all its lines goes, as earlier
   ones hold them.
@@ -30,6 +30,8 @@ from quarrylog.llm.scratch import Scratch, release
 
 #: Bits a character; text in a known language takes 3 to 5, unknown scripts over 10.
 MOST_BITS = 8.0
+#: Scripts of thousands of letters take more: so many times what one half of the language's sample takes under the other.
+MOST_OWN = 1.25
 #: A repeated line of so many words goes whatever its neighbours; shorter ones (headings, labels) only within a longer run.
 LINE_WORDS = 8
 
@@ -40,8 +42,8 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.predict(docs, langid.sample_texts(docs), carry=docs.columns, prefix="__")
-    return found.where(F.col("__bits") <= MOST_BITS).select(*(f"`{c}`" for c in docs.columns))
+    found = langid.predict(docs, langid.sample_texts(docs), carry=docs.columns, prefix="__", own=True)
+    return found.where(F.col("__bits") <= F.greatest(F.lit(MOST_BITS), MOST_OWN * F.col("__own"))).select(*(f"`{c}`" for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

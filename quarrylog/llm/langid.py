@@ -9,13 +9,15 @@ value wins. (Ziv and Merhav, "A measure of relative entropy between individual
 sequences with application to universal classification", 1993.)
 
 Characters are letters in lower case; everything between them counts as one
-blank. A text is parsed in segments of fixed length, all of them side by side,
+blank. Every letter of the samples is a symbol of its own, in any script; a
+letter that a language's sample lacks is a phrase of its own there. A text is parsed in segments of fixed length, all of them side by side,
 which adds at most one phrase a segment and is the same for every language.
 
 Samples are bounded: ``sample_docs`` documents a language, the first
 ``sample_doc_chars`` characters of each, ``sample_chars`` characters in all, for
 at most ``max_languages`` languages (those with most rows). Automata are built
-from the samples in each Python worker.
+from the samples in each Python worker; each has only the letters of its own
+sample.
 
 A null text, or one without a letter, gives ``und`` with score 0. Without any
 labelled text every prediction is ``und``. Repeated rows give repeated rows,
@@ -51,18 +53,13 @@ def sample_texts(labelled: DataFrame, sample_docs: int = 64, sample_doc_chars: i
 
 
 class Alphabet:
-    """Classes of characters: blank, other letters, and the frequent letters of the samples."""
-
-    def __init__(self, texts: list[str], size: int = 62):
-        counts: dict[str, int] = {}
-        for text in texts:
-            for c in text.lower():
-                if c.isalpha():
-                    counts[c] = counts.get(c, 0) + 1
-        letters = sorted(counts, key=lambda c: (-counts[c], c))[:size]
+    """Classes of characters: blank, letters no sample has, and each letter of the samples."""
+
+    def __init__(self, texts: list[str]):
+        letters = sorted({c for text in texts for c in text.lower() if c.isalpha()})
         index = {c: i + 2 for i, c in enumerate(letters)}
         self.size = len(letters) + 2
-        self.table = np.zeros(0x110000, np.uint8)
+        self.table = np.zeros(0x110000, np.uint8 if self.size <= 256 else np.int32)
         for cp in range(0x110000):
             c = chr(cp)
             if c.isalpha():
@@ -79,8 +76,8 @@ class Alphabet:
         return found[keep], np.concatenate([[0], np.cumsum(keep)])[first]
 
 
-def suffix_automaton(symbols: np.ndarray, size: int) -> np.ndarray:
-    """Transitions [state, symbol] of the suffix automaton of a sequence; 0 where there is none."""
+def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of a sequence."""
     following: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols.tolist():
@@ -106,11 +103,70 @@ def suffix_automaton(symbols: np.ndarray, size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.zeros((len(following), size), np.int32)
-    for state, to in enumerate(following):
-        if to:
-            table[state, list(to)] = list(to.values())
-    return table
+    return following
+
+
+#: The most entries (int32) that a table of all states and symbols may have; beyond, transitions are hashed.
+DENSE = 4_000_000
+#: A multiplier that spreads keys over a hash table.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Automaton:
+    """A suffix automaton over the symbols of its own sequence; stepped for many texts at a time.
+
+    A table of all states and symbols where that is small (alphabets), else an
+    open hash table of the transitions there are (at most three a character).
+    """
+
+    def __init__(self, symbols: np.ndarray, size: int):
+        own = np.unique(symbols)
+        self.local = np.full(size, -1, np.int32)  # symbols of all languages to this one's
+        self.local[own] = np.arange(len(own))
+        following = suffix_automaton(self.local[symbols])
+        self.width, self.dense = len(own), len(following) * len(own) <= DENSE
+        if self.dense:
+            # one more column: symbols the sequence lacks, which go nowhere
+            self.width += 1
+            self.local[self.local < 0] = len(own)
+            self.to = np.zeros((len(following), self.width), np.int32)
+            for state, to in enumerate(following):
+                if to:
+                    self.to[state, list(to)] = list(to.values())
+            self.to = self.to.ravel()
+            return
+        keys = np.array([s * self.width + c for s, to in enumerate(following) for c in to], np.int64)
+        values = np.array([q for to in following for q in to.values()], np.int32)
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        self.longest, at = 0, self._home(keys)
+        while len(keys):
+            self.longest += 1
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]  # of keys that meet, the last stays
+            placed = self.keys[at] == keys
+            self.values[at[placed]] = values[placed]
+            keys, values, at = keys[~placed], values[~placed], (at[~placed] + 1) & ((1 << self.bits) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states that follow by symbols (local ones); 0 where there is none."""
+        if self.dense:
+            return self.to[state * self.width + symbol]
+        out, left = np.zeros(len(state), np.int32), np.flatnonzero(symbol >= 0)
+        keys = state[left].astype(np.int64) * self.width + symbol[left]
+        at = self._home(keys)
+        for _ in range(self.longest):
+            found = self.keys[at]
+            hit = found == keys
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (found >= 0)
+            if not on.any():
+                break
+            left, keys, at = left[on], keys[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
 
 
 class Model:
@@ -121,7 +177,16 @@ class Model:
         self.alphabet = Alphabet([samples[k] for k in self.langs])
         sequences = [self.alphabet.classes([samples[k]])[0] for k in self.langs]
         self.bits = np.log2(np.maximum([len(s) for s in sequences], 2))
-        self.tables = [suffix_automaton(s, self.alphabet.size).ravel() for s in sequences]
+        self.automata = [Automaton(s, self.alphabet.size) for s in sequences]
+        self.samples, self._own = samples, {}
+
+    def own(self, lang: str) -> float:
+        """Bits a character of one half of a language's sample under the other: what its own text takes, in its script."""
+        if lang not in self._own:
+            text = self.samples[lang]
+            half = Model({lang: text[: len(text) // 2]})
+            self._own[lang] = float(np.nan_to_num(half.entropies([text[len(text) // 2 :]])[0, 0]))
+        return self._own[lang]
 
     def phrases(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Numbers of phrases [text, language]."""
@@ -134,19 +199,20 @@ class Model:
         order = np.argsort(-size, kind="stable")
         owner, begin, size = owner[order], begin[order], size[order]
         active = np.searchsorted(-size, -np.arange(SEGMENT), "left")
-        width, out = self.alphabet.size, np.zeros((len(sizes), len(self.langs)), np.int64)
-        for k, table in enumerate(self.tables):
+        out = np.zeros((len(sizes), len(self.langs)), np.int64)
+        for k, automaton in enumerate(self.automata):
+            local = automaton.local[symbols]
             state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
             for t in range(SEGMENT):
                 n = active[t]
                 if not n:
                     break
-                c = symbols[begin[:n] + t].astype(np.int32)
-                to = table[state[:n] * width + c]
+                c = local[begin[:n] + t]
+                to = automaton.step(state[:n], c)
                 missed = to == 0
                 # a phrase begins here: after one that has ended, or where the last cannot go on
                 count[:n] += missed | (state[:n] == 0)
-                to[missed] = table[c[missed]]
+                to[missed] = automaton.step(np.zeros(missed.sum(), np.int32), c[missed])
                 state[:n] = to
             out[:, k] = np.bincount(owner, count, len(sizes)).astype(np.int64)
         return out
@@ -173,14 +239,16 @@ def _model(samples: dict[str, str]) -> Model:
     return _models[key]
 
 
-def predict(docs: DataFrame, samples: dict[str, str], carry: list[str] | None = None, prefix: str = "") -> DataFrame:
+def predict(docs: DataFrame, samples: dict[str, str], carry: list[str] | None = None, prefix: str = "", own: bool = False) -> DataFrame:
     """docs' columns named in ``carry`` (default: doc_id), with lang_pred, score and bits, named with ``prefix``.
 
     score is b2 / (b1 + b2) of the two lowest entropies (1 if there is one
     language), bits the lowest entropy (null for ``und``).
+    With ``own`` there is also a column own: the bits that the language's own
+    sample takes, half by half.
     """
     carry = ["doc_id"] if carry is None else carry
-    added = [prefix + c for c in ("lang_pred", "score", "bits")]
+    added = [prefix + c for c in ("lang_pred", "score", "bits", *(["own"] if own else []))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(samples) if samples else None
@@ -200,13 +268,14 @@ def predict(docs: DataFrame, samples: dict[str, str], carry: list[str] | None =
                         b = all_bits[i][best[i]]
                         lang[i], bits[i] = model.langs[best[i][0]], float(b[0])
                         score[i] = float(b[1] / (b[0] + b[1])) if len(b) > 1 else 1.0
+                more = [pa.array([None if b is None else model.own(k) for k, b in zip(lang, bits, strict=True)], pa.float64())] if own else []
                 kept = [c.slice(at, to - at) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=[*carry, *added])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), *more], names=[*carry, *added])
                 at = to
 
     rows = docs.select(*(f"`{c}`" for c in carry), F.col("text").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kinds}, `{added[0]}` string, `{added[1]}` double, `{added[2]}` double")
+    return rows.mapInArrow(run, f"{kinds}, `{added[0]}` string, `{added[1]}` double, `{added[2]}` double" + (f", `{added[3]}` double" if own else ""))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -55,3 +55,32 @@ def test_awkward_rows(spark, awkward):
     empty = make(spark, [])
     assert langid.sample_texts(empty) == {} and langid.predict(empty, {}).count() == 0
     assert langid.predict(make(spark, [(1, "abc")]), {}).first().lang_pred == "und"
+
+
+def han(rng, first, n):
+    """Words of two of 300 letters, each of the second letters with a few first ones."""
+    return " ".join("".join(chr(first + rng.randrange(300)) for _ in range(2)) for _ in range(n))
+
+
+def test_languages_of_one_large_script():
+    """Two languages of Chinese letters beside Latin and Cyrillic ones; a third script is unknown."""
+    rng = random.Random(4)
+    latin = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz\u00e4\u00f6\u00fc") for _ in range(5)) for _ in range(2000))
+    cyrillic = " ".join("".join(chr(0x430 + rng.randrange(32)) for _ in range(5)) for _ in range(2000))
+    model = langid.Model({"la": latin, "ru": cyrillic, "h1": han(rng, 0x4E00, 6000), "h2": han(rng, 0x4E00 + 150, 6000)})
+    texts = [han(rng, 0x4E00, 40) for _ in range(30)] + [han(rng, 0x4E00 + 150, 40) for _ in range(30)]
+    bits = model.entropies([*texts, han(rng, 0xAC00, 40)])
+    assert [model.langs[i] for i in bits.argmin(axis=1)[:-1]] == ["h1"] * 30 + ["h2"] * 30
+    limits = np.array([max(8.0, 1.25 * model.own(k)) for k in model.langs])
+    assert (bits[:-1].min(axis=1) <= limits[bits[:-1].argmin(axis=1)]).all() and (bits[-1] > limits).all()
+
+
+def test_hashed_transitions_are_those_of_the_table(monkeypatch):
+    rng = random.Random(5)
+    samples = {"x": "".join(rng.choice("abcd ") for _ in range(3000)), "y": han(rng, 0x4E00, 700)}
+    texts = ["".join(rng.choice("abcde ") for _ in range(600)), han(rng, 0x4E00, 300), "", "zz"]
+    dense = langid.Model(samples)
+    monkeypatch.setattr(langid, "DENSE", 0)
+    sparse = langid.Model(samples)
+    assert [a.dense for a in dense.automata + sparse.automata] == [True, True, False, False]
+    assert (dense.phrases(*dense.alphabet.classes(texts)) == sparse.phrases(*sparse.alphabet.classes(texts))).all()
