@@ -13,11 +13,11 @@ blank. Every letter of the samples is a symbol of its own, in any script; a
 letter that a language's sample lacks is a phrase of its own there. A text is parsed in segments of fixed length, all of them side by side,
 which adds at most one phrase a segment and is the same for every language.
 
-Samples are bounded: ``sample_docs`` documents a language, the first
-``sample_doc_chars`` characters of each, ``sample_chars`` characters in all, for
-at most ``max_languages`` languages (those with most rows). Automata are built
-from the samples in each Python worker; each has only the letters of its own
-sample.
+Every labelled language is learned. Samples are bounded: ``sample_docs``
+documents a language, the first ``sample_doc_chars`` characters of each,
+``sample_chars`` characters in all; where there are more than 64 languages, all
+of them get smaller shares of the same total. Automata are built from the
+samples in each Python worker; each has only the letters of its own sample.
 
 A null text, or one without a letter, gives ``und`` with score 0. Without any
 labelled text every prediction is ``und``. Repeated rows give repeated rows,
@@ -40,16 +40,20 @@ BLANK, OTHER = 0, 1
 UNDETERMINED = "und"
 
 
-def sample_texts(labelled: DataFrame, sample_docs: int = 64, sample_doc_chars: int = 4000, sample_chars: int = 40_000, max_languages: int = 64) -> dict[str, str]:
-    """A bounded sample of each language of labelled(text, lang), chosen by a hash of the text."""
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.substring("text", 1, sample_doc_chars).alias("text"))
-    known = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    rows = rows.where(F.col("lang").isin(known)).withColumn("h", F.xxhash64("text"))
-    chosen = rows.groupBy("lang", F.pmod("h", F.lit(sample_docs)).alias("slot")).agg(F.min(F.struct("h", "text")).alias("m"))
+def sample_texts(labelled: DataFrame, sample_docs: int = 64, sample_doc_chars: int = 4000, sample_chars: int = 40_000, full_languages: int = 64) -> dict[str, str]:
+    """A bounded sample of each language of labelled(text, lang), chosen by a hash of the text.
+
+    Beyond ``full_languages`` languages each gets a smaller share of the same total.
+    """
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.substring("text", 1, sample_doc_chars).alias("text")).where(F.col("text").rlike("\\p{L}"))
+    share = min(1.0, full_languages / max(1, rows.select("lang").distinct().count()))
+    slots, chars = max(1, int(sample_docs * share)), max(256, int(sample_chars * share))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    chosen = rows.groupBy("lang", F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min(F.struct("h", "text")).alias("m"))
     out: dict[str, list[str]] = {}
     for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["m"]["h"], r["m"]["text"])):
         out.setdefault(r["lang"], []).append(r["m"]["text"])
-    return {lang: "\n".join(texts)[:sample_chars] for lang, texts in out.items() if any(c.isalpha() for t in texts for c in t)}
+    return {lang: "\n".join(texts)[:chars] for lang, texts in out.items() if any(c.isalpha() for t in texts for c in t)}
 
 
 class Alphabet:

@@ -84,3 +84,15 @@ def test_hashed_transitions_are_those_of_the_table(monkeypatch):
     sparse = langid.Model(samples)
     assert [a.dense for a in dense.automata + sparse.automata] == [True, True, False, False]
     assert (dense.phrases(*dense.alphabet.classes(texts)) == sparse.phrases(*sparse.alphabet.classes(texts))).all()
+
+
+def test_every_labelled_language_is_learned(spark):
+    """Eighty languages of ten letters each, the last ones with a single row."""
+    rng = random.Random(6)
+    letters = [chr(0x4E00 + i) for i in range(800)]
+    text = lambda k, n: " ".join("".join(rng.choice(letters[10 * k : 10 * k + 10]) for _ in range(4)) for _ in range(n))
+    out = [(100 * k + i, text(k, 30), f"l{k:02}", "s", 0) for k in range(80) for i in range(3 if k < 60 else 1)]
+    samples = langid.sample_texts(make(spark, out), sample_docs=2, sample_chars=1000)
+    assert sorted(samples) == [f"l{k:02}" for k in range(80)] and max(map(len, samples.values())) <= 800
+    model = langid.Model(samples)
+    assert [model.langs[i] for i in model.entropies([text(k, 20) for k in range(80)]).argmin(axis=1)] == [f"l{k:02}" for k in range(80)]
