@@ -37,7 +37,7 @@ PATTERN = re.compile(
     r"|(?P<access>(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9]))"
     r"|(?P<assigned>(?i:(?:secret|token|passw(?:or)?d|api[_-]?key|access[_-]?key)\w*)[\"']?\s*[:=]\s*(?:(?P<quote>[\"'])(?P<quoted>[^\"'\s]{6,})(?P=quote)|(?P<bare>(?=[A-Za-z_+/=.-]*[0-9])[A-Za-z0-9_+/=.-]{7,}[A-Za-z0-9_+/=])))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9]))"
-    r"|(?P<date>(?<![\w.,/-])(?:[0-9]{4}(?P<d1>[-/.])[0-9]{1,2}(?P=d1)[0-9]{1,2}|[0-9]{1,2}(?P<d2>[-/.])[0-9]{1,2}(?P=d2)[0-9]{4})(?![\w/-]|[.,][0-9]))"
+    r"|(?P<date>(?<![\w.,/-])(?:[0-9]{4}(?P<d1>[-/.])[0-9]{1,2}(?P=d1)[0-9]{1,2}|[0-9]{1,2}(?P<d2>[-/.])[0-9]{1,2}(?P=d2)[0-9]{4})(?!(?![Tt][0-9]{2})[\w/-]|[.,][0-9]))"
     r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w-]))"
@@ -46,7 +46,7 @@ PATTERN = re.compile(
 )
 KINDS = ("block", "email", "access", "assigned", "iban", "date", "ip", "ssn", "phone", "card")
 #: Without one of these a text holds nothing that PATTERN finds.
-HINT = re.compile(r"[0-9@]|PRIVATE KEY|(?i:secret|token|passw|key)")
+HINT = re.compile(r"[0-9@]|PRIVATE KEY|AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza|(?i:secret|token|passw|key)")
 
 
 class Feistel:
