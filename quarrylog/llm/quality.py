@@ -33,8 +33,11 @@ from quarrylog.llm.scratch import Scratch
 
 BLANKS = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Smallest standard deviation of each transformed statistic.
-FLOORS = {"x_length": 0.3, "x_word": 0.05, "x_symbols": 0.04, "x_lines": 0.35, "x_repeats": 0.15}
+#: Added to each transformed statistic's deviation (as squares), so small that each can pass the cutoff alone: in a pool
+#: without any, at about 0.09 symbols a word, 3 duplicate lines or a fifth of the words repeated.
+FLOORS = {"x_length": 0.3, "x_word": 0.05, "x_symbols": 0.02, "x_lines": 0.25, "x_repeats": 0.1}
+#: Quantile 0.999 of chi-square with five degrees of freedom.
+CUTOFF = 20.515
 STATISTICS = list(FLOORS)
 #: Fixed values for five statistics: share / P(chi2_7 <= quantile of chi2_5 at share), for share 0.75.
 CONSISTENCY = 1.412
@@ -145,10 +148,10 @@ def robust_distances(rows: DataFrame, scratch: Scratch, share: float = 0.75, ste
     return _with_distance(rows, model)
 
 
-def quality(docs: DataFrame, cutoff: float = 40.0, least_rows: int = 60, **base) -> DataFrame:
+def quality(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = 60, **base) -> DataFrame:
     """Counts, base_failed, distance and kept of docs(doc_id, text, lang, source).
 
-    The default cutoff is passed by about two of ten million rows of a normal
+    The default cutoff is passed by one of a thousand rows of a normal
     distribution in five statistics.
     """
     scratch = Scratch(docs.sparkSession, "quality")

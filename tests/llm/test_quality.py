@@ -38,6 +38,23 @@ def test_outliers_go_and_the_rest_stays(spark):
     assert all(got[i] for i in range(240)) and not any(got[1000 + i] for i in range(20)) and all(got[2000 + i] for i in range(3))
 
 
+def test_each_statistic_rejects_alone(spark):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, rng.randint(60, 400)), "en", "s", 0) for i in range(240)]
+    block = prose(rng, 34)
+    planted = {
+        "length": prose(rng, 9000),
+        "word": " ".join("abcdefghijklmnop"[rng.randrange(3) :] + rng.choice("qrst") * 2 + rng.choice("abcdefgh") for _ in range(150)),
+        "symbols": prose(rng, 85) + " " + " ".join(w + "#" for w in prose(rng, 15).split()),
+        "lines": "\n".join(f"{prose(rng, 30)}\nsame" for _ in range(5)),
+        "repeats": f"{prose(rng, 40)} {block} {prose(rng, 42)} {block}",
+    }
+    rows += [(1000 + i, t, "en", "s", 0) for i, t in enumerate(planted.values())]
+    got = {r.doc_id: r for r in quality.quality(make(spark, rows)).collect()}
+    assert sum(got[i].kept for i in range(240)) >= 238
+    assert {k: (got[1000 + i].base_failed, got[1000 + i].kept) for i, k in enumerate(planted)} == dict.fromkeys(planted, (False, False))
+
+
 def test_distance_is_mahalanobis(spark):
     rng = np.random.default_rng(3)
     mix = rng.normal(size=(5, 5)) + 2 * np.eye(5)
