@@ -1,14 +1,14 @@
 """Quality rules and robust multivariate outliers, in DataFrame operations alone.
 
 Base rules judge a document by its own counts. Those that pass are compared with
-their group: for each language and source, the minimum covariance determinant
-gives a centre and a scatter matrix that outliers cannot pull away, and a
+their group: for each language and source, an approximation of the minimum
+covariance determinant gives a centre and a scatter matrix that outliers cannot pull away, and a
 document whose transformed statistics lie too far from the centre, by
 Mahalanobis distance, is rejected.
 
 The estimate starts from medians and median absolute deviations, and takes
 concentration steps: mean and covariance over the ``share`` of a group's rows
-that are nearest so far (Rousseeuw and Van Driessen, 1999; Hubert, Rousseeuw and
+that are nearest so far, from this one start and in a fixed number (Rousseeuw and Van Driessen, 1999; Hubert, Rousseeuw and
 Verdonck, "A deterministic algorithm for robust location and scatter", 2012).
 Every step is a grouped aggregate that Spark combines before the shuffle. The
 scatter is scaled for consistency, and each statistic's variance gets a floor,
