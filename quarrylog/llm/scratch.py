@@ -9,16 +9,23 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds between two looks for unreachable shuffles.
+RELEASE_SECONDS = 5
+_released = 0.0
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a local one only where none is set."""
+    """The shared folder for intermediate tables; a local one only where none is set and all tasks run in this process."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quarrylog-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -33,14 +40,8 @@ class Scratch:
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
-    def save(self, df: DataFrame, name: str = "t", few: bool = False) -> DataFrame:
-        """Write df and return a DataFrame that reads what was written.
-
-        few: a table that iterations read again and again; it gets no more files
-        than the cluster runs tasks at a time, twice over.
-        """
-        if few:
-            df = df.coalesce(2 * self.spark.sparkContext.defaultParallelism)
+    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+        """Write df and return a DataFrame that reads what was written."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         schema = df.schema
@@ -64,6 +65,9 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver notice unreachable shuffles, so that executors drop their files."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let the driver notice unreachable shuffles, so that executors drop their files; at most every few seconds."""
+    global _released
+    if time.monotonic() - _released > RELEASE_SECONDS:
+        gc.collect()
+        spark._jvm.System.gc()
+        _released = time.monotonic()

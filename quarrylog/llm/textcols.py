@@ -7,6 +7,7 @@ size, however large the Arrow batches are.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,21 +19,12 @@ U = np.uint64
 SLICE_BYTES = 2 << 20
 #: Bytes whose words are hashed at a time.
 BLOCK_BYTES = 1 << 18
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Odd multipliers of the two independent families of word hashes.
+_FAMILIES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Words of more bytes than this are hashed one at a time.
+LONG_WORD = 256
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
-_powers: dict[str, np.ndarray] = {}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64."""
-    if len(_powers.get("pow", ())) < n:
-        size = max(n, BLOCK_BYTES)
-        base, inverse = np.full(size, _BASE, U), np.full(size, pow(_BASE, -1, 1 << 64), U)
-        base[0] = inverse[0] = 1
-        with np.errstate(over="ignore"):
-            _powers["pow"], _powers["inv"] = np.cumprod(base), np.cumprod(inverse)
-    return _powers["pow"], _powers["inv"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -93,36 +85,60 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + ((data >= 65) & (data <= 90)) * np.uint8(32)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A mixed 64-bit hash of each word's bytes."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; the two families are independent.
+
+    Eight bytes at a time go through the finaliser, so that no sum or product of
+    positions can cancel out; long words take a keyed BLAKE2b digest.
+    """
     out = np.empty(len(starts), U)
     at = 0
     while at < len(starts):
-        origin = starts[at]
+        origin = int(starts[at])
         to = max(at + 1, int(np.searchsorted(ends, origin + BLOCK_BYTES, "right")))
-        block = data[origin : ends[to - 1]]
-        power, inverse = _tables(len(block))
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(block) + 1, U)
-            np.cumsum((block.astype(U) + U(1)) * power[: len(block)], out=sums[1:])
-            s, e = starts[at:to] - origin, ends[at:to] - origin
-            out[at:to] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(U)
+        out[at:to] = _block_hashes(data[origin : ends[to - 1]], starts[at:to] - origin, ends[at:to] - origin, family)
         at = to
-    return mix(out)
+    return out
+
+
+def _block_hashes(block: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int) -> np.ndarray:
+    factor, sizes = U(_FAMILIES[family]), ends - starts
+    padded = np.zeros(len(block) + 8, np.uint8)
+    padded[: len(block)] = block
+    at_byte = np.lib.stride_tricks.as_strided(padded[:8].view(U), (len(block) + 1,), (1,))
+    order = np.argsort(-sizes, kind="stable")
+    order = order[np.searchsorted(-sizes[order], -LONG_WORD, "left") :]
+    left, place = sizes[order], starts[order]
+    with np.errstate(over="ignore"):
+        state = mix(left.astype(U) * factor + U(family + 1))
+        n = len(order)
+        while n:
+            chunk = at_byte[place[:n]]
+            short = np.maximum(8 - left[:n], 0).astype(U) * U(8)
+            chunk = chunk & (U(0xFFFFFFFFFFFFFFFF) >> short)
+            state[:n] = mix((state[:n] ^ chunk) * factor + U(family + 1))
+            place[:n] += 8
+            left[:n] -= 8
+            n = int(np.searchsorted(-left[:n], 0, "left"))
+    out = np.empty(len(starts), U)
+    out[order] = state
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        digest = hashlib.blake2b(block[starts[i] : ends[i]].tobytes(), digest_size=8, key=b"word%d" % family).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
 
 
 def gram_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """Hash of each run of ``size`` words (runs may cross texts; see inside())."""
-    n = len(words) - size + 1
-    if n <= 0:
+    """Hash of each run of ``size`` words (runs may cross texts; see inside()), from those of half the length."""
+    if len(words) < size:
         return np.zeros(0, U)
-    total = np.zeros(n, U)
-    factor = (0xD6E8FEB86659FD93 + 2 * seed * 0xA0761D6478BD642F) & 0xFFFFFFFFFFFFFFFF | 1
     with np.errstate(over="ignore"):
-        for i in range(size):
-            total *= U(factor)
-            total += words[i : i + n]
-    return mix(total + U(seed))
+        out, have = mix(words + U(2 * seed + 1)), 1
+        while have < size:
+            step = min(have, size - have)
+            out = mix(out[:-step] * U(_FAMILIES[0]) + (out[step:] ^ (out[step:] >> U(29))) * U(_FAMILIES[1]) + U(have))
+            have += step
+    return out
 
 
 def inside(first: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -130,3 +146,28 @@ def inside(first: np.ndarray, n: int, size: int) -> np.ndarray:
     counts = np.diff(first)
     return np.arange(n) + size <= np.repeat(first[1:], counts)[:n]
 
+
+
+def plain_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All words one after the other, a blank behind each, and where each begins (n + 1 values).
+
+    A word of more than LONG_WORD bytes is represented by its first 64 bytes, byte 0xFF and its SHA-256 digest.
+    """
+    sizes = ends - starts
+    long = np.flatnonzero(sizes > LONG_WORD)
+    if len(long):
+        pieces, at = [], 0
+        for i in [*long.tolist(), len(starts)]:
+            if i > at:
+                pieces.append(plain_words(data, starts[at:i], ends[at:i])[0])
+            if i < len(starts):
+                word = data[starts[i] : ends[i]].tobytes()
+                pieces.append(word[:64] + b"\xff" + hashlib.sha256(word).hexdigest().encode() + b" ")
+            at = i + 1
+        sizes = np.where(sizes > LONG_WORD, 64 + 1 + 64, sizes)
+        return b"".join(pieces), np.concatenate([[0], np.cumsum(sizes + 1)])
+    first = np.concatenate([[0], np.cumsum(sizes + 1)])
+    out = np.full(first[-1], 32, np.uint8)
+    source = np.repeat(starts - first[:-1], sizes) + (inside_word := np.arange(sizes.sum()) + np.repeat(np.arange(len(sizes)), sizes))
+    out[inside_word] = data[source]
+    return out.tobytes(), first
