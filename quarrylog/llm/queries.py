@@ -65,7 +65,7 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = linedup.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"), min_lines=2)
+    kept = linedup.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"), min_lines=2, line_words=8)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -122,8 +122,13 @@ pairs AS (
 ranked AS (
   SELECT doc_id, j, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, j) AS r
   FROM pairs WHERE next IS NOT NULL),
+alone AS (
+  SELECT doc_id, j, row_number() OVER (PARTITION BY line ORDER BY doc_id, j) AS r
+  FROM filled WHERE len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+')) >= 8
+    OR length(regexp_replace(line, '[ \t\n\x0B\f\r]+', '', 'g')) >= 40),
 gone AS (
-  SELECT doc_id, j FROM ranked WHERE r > 1 UNION SELECT doc_id, j + 1 FROM ranked WHERE r > 1),
+  SELECT doc_id, j FROM ranked WHERE r > 1 UNION SELECT doc_id, j + 1 FROM ranked WHERE r > 1
+  UNION SELECT doc_id, j FROM alone WHERE r > 1),
 gone_lines AS (SELECT doc_id, i FROM filled JOIN gone USING (doc_id, j)),
 kept AS (
   SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text
