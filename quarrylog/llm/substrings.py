@@ -2,15 +2,16 @@
 
 A fingerprint is the smallest gram hash of a window (a minimiser): equal windows
 have equal fingerprints, and neighbouring windows mostly share theirs, so a text
-has about one fingerprint for five words. The index is a list of immutable runs:
-postings (fingerprint, doc_id), hashed into the same number of buckets and
-sorted by fingerprint in each. A batch of documents becomes a new run, which is
+has about one fingerprint for five words. The index is a folder of immutable runs:
+postings (fingerprint, doc_id), dealt into buckets and sorted by fingerprint in
+each, and the texts. A batch of documents becomes a new run, which is
 merge-joined with the runs before it, bucket by bucket and without a shuffle.
-Fingerprints that two documents share lead back to the texts, whose windows at
-just these places are compared by 128-bit hashes of all their words. When runs
-reach ``fanout``, they are compacted into one.
+Fingerprints that two documents share lead back to the texts, where windows at
+just these places are verified by 128-bit BLAKE2b digests of their words. When there are
+``fanout`` runs, they are compacted into one before the next batch meets them.
+An index opened again in a later session goes on with the next batch.
 
-Exact copies of earlier texts are set aside first: all their windows start in the
+Exact copies of earlier texts (by SHA-256) are set aside first: all their windows start in the
 original, so they need no fingerprints, and neither do texts that nothing but
 their copies repeat. The other texts are kept bucketed by doc_id, so that looking
 at windows and cutting words takes no further shuffle of texts.
@@ -25,9 +26,10 @@ from others. Rows that share a doc_id are one document.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 from quarrylog.llm import textcols as tc
 from quarrylog.llm.minimisers import selected
 from quarrylog.llm.scratch import Scratch, release, remove
+from quarrylog.llm.skew import join_groups, union_all
 
 
 def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -56,7 +59,7 @@ def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def windows_at(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """doc_id, at, w1, w2: start and hashes of the windows of docs(doc_id, text, fps) whose fingerprint is among fps."""
+    """doc_id, at, w1, w2: start and digest of the words of the windows of docs(doc_id, text, fps) whose fingerprint is among fps."""
     names = ["doc_id", "at", "w1", "w2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,8 +68,7 @@ def windows_at(docs: DataFrame, window: int, gram: int) -> DataFrame:
             wanted = batch.column("fps")
             for part in tc.slices(batch.column("text")):
                 begin, end, first = part.words()
-                words = tc.word_hashes(part.data, begin, end)
-                starts, at, grams = selected(words, first, window, gram)
+                starts, at, grams = selected(tc.word_hashes(part.data, begin, end), first, window, gram)
                 prints = grams[at].view(np.int64)
                 edge = np.searchsorted(starts, first)
                 keep = np.zeros(len(starts), bool)
@@ -74,8 +76,10 @@ def windows_at(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     keep[edge[i] : edge[i + 1]] = np.isin(prints[edge[i] : edge[i + 1]], np.asarray(wanted[part.first + i].values))
                 starts = starts[keep]
                 owner = np.searchsorted(first, starts, "right") - 1
-                w1, w2 = (tc.gram_hashes(words, window, seed)[starts].view(np.int64) for seed in (1, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[part.first + owner]), pa.array((starts - first[owner]).astype(np.int32)), pa.array(w1), pa.array(w2)], names=names)
+                plain, byte = tc.plain_words(part.data, begin, end)
+                spans = zip(byte[starts].tolist(), byte[starts + window].tolist(), strict=True)
+                digests = np.frombuffer(b"".join([hashlib.blake2b(plain[a:b], digest_size=16).digest() for a, b in spans]), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part.first + owner]), pa.array((starts - first[owner]).astype(np.int32)), pa.array(digests[::2]), pa.array(digests[1::2])], names=names)
 
     return docs.select("doc_id", "text", "fps").mapInArrow(run, "doc_id long, at int, w1 long, w2 long")
 
@@ -114,91 +118,191 @@ def without_spans(docs: DataFrame, spans: DataFrame, window: int = 1) -> DataFra
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def exact_copies(docs: DataFrame) -> DataFrame:
+def exact_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id of texts that a smaller doc_id has too."""
-    heads = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"))
-    groups = heads.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b")
-    return heads.join(groups, ["h1", "h2"]).where("doc_id > a").select("doc_id").distinct()
+    heads = scratch.save(docs.where("text IS NOT NULL").select("doc_id", F.unhex(F.sha2("text", 256)).alias("h")), "heads")
+    groups = heads.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("size")).where("a <> b").drop("b")
+    return join_groups(heads, scratch.save(groups, "copied"), ["h"]).where("doc_id > a").select("doc_id").distinct()
 
 
 class Bucketed:
-    """Tables of the session in a folder, dealt into the same number of buckets by a key and sorted by it."""
+    """Parquet tables in a folder, dealt into buckets by a key and sorted by it; none stays in the session's catalogue."""
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
-        self.spark, self.folder = spark, folder
-        self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self._tables = spark, folder, {}
 
-    def write(self, df: DataFrame, key: str) -> str:
+    def write(self, df: DataFrame, key: str, buckets: int) -> str:
         name = f"run_{uuid.uuid4().hex[:12]}"
-        dealt = df.repartition(self.buckets, key)
-        dealt.write.bucketBy(self.buckets, key).sortBy(key).option("compression", "zstd").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        dealt = df.repartition(buckets, key)
+        dealt.write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        self._tables[name] = self._uncatalogued(name)
         release(self.spark)
         return name
 
+    def read(self, name: str, schema: str, key: str, buckets: int) -> DataFrame:
+        """A table that write() wrote, in this session or another."""
+        if name not in self._tables:
+            self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{self.folder}/{name}'")
+            self._tables[name] = self._uncatalogued(name)
+        return self._tables[name]
+
+    def _uncatalogued(self, name: str) -> DataFrame:
+        """The table as a DataFrame; the files stay when the catalogue forgets it."""
+        table = self.spark.table(name)
+        table.schema  # noqa: B018 - looked up while the catalogue has it
+        self.spark.sql(f"DROP TABLE {name}")
+        return table
+
     def drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._tables.pop(name, None)
         remove(self.spark, f"{self.folder}/{name}")
 
 
-def bucketed_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, text, copy of all rows with a doc_id, bucketed by it; copy: an earlier document has the same text."""
+def default_buckets(spark: SparkSession) -> int:
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def marked(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, text, copy of all rows with a doc_id; copy: an earlier document has the same text."""
     known = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    copies = scratch.save(exact_copies(known), "copies")
-    tables = Bucketed(docs.sparkSession, scratch.root)
-    marked = known.repartition(tables.buckets, "doc_id").join(copies.withColumn("c", F.lit(True)).hint("merge"), "doc_id", "left")
-    return docs.sparkSession.table(tables.write(marked.select("doc_id", "text", F.coalesce("c", F.lit(False)).alias("copy")), "doc_id"))
+    copies = scratch.save(exact_copies(known, scratch), "copies")
+    return known.join(copies.withColumn("c", F.lit(True)).hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("c", F.lit(False)).alias("copy"))
+
+
+def marked_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """marked(docs), written bucketed by doc_id."""
+    tables, buckets = Bucketed(docs.sparkSession, scratch.root), default_buckets(docs.sparkSession)
+    return tables.read(tables.write(marked(docs, scratch), "doc_id", buckets), TEXTS, "doc_id", buckets)
+
+
+POSTINGS, TEXTS = "cell BIGINT, fp BIGINT, doc_id BIGINT", "doc_id BIGINT, text STRING, copy BOOLEAN"
+#: Postings of a bucket before compaction deals them into more buckets.
+BUCKET_ROWS = 8_000_000
+#: A fingerprint in more than one of PARTS documents of a sample is spread over CELLS buckets; MOST_FREQUENT of a batch at most.
+PARTS, CELLS, MOST_FREQUENT = 50, 64, 500
 
 
 class FingerprintIndex:
-    """Immutable runs of postings (fp, doc_id), newest last."""
+    """A folder of immutable runs of postings (cell, fp, doc_id) and the texts they came from.
+
+    What belongs to the index is written in numbered manifests; the newest counts, so
+    that a later session that opens the folder goes on where the last one stopped.
+    Buckets go by cell: the fingerprint, or for frequent ones the fingerprint with a
+    part of the doc_id. Which are frequent is found on a sample of each batch; it
+    decides on the layout alone, not on what is found.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, window: int = 13, gram: int = 5, buckets: int | None = None, fanout: int = 2):
-        self.spark, self.window, self.gram, self.fanout = spark, window, gram, fanout
-        self.tables = Bucketed(spark, folder, buckets)
-        self.runs: list[str] = []
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.tables = Bucketed(spark, self.folder)
+        self.state = self._newest() or {"version": 0, "window": window, "gram": gram, "fanout": fanout, "buckets": buckets or default_buckets(spark), "runs": [], "texts": [], "frequent": []}
+        self.window, self.gram, self.fanout = (self.state[k] for k in ("window", "gram", "fanout"))
+
+    @property
+    def runs(self) -> list[str]:
+        return [r["name"] for r in self.state["runs"]]
+
+    def _newest(self) -> dict | None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifests")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+        done = sorted(p.toString() for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        return json.loads(self.spark.read.text(done[-1], wholetext=True).first()[0]) if done else None
+
+    def _commit(self, **changes) -> None:
+        """A new manifest; what it no longer names is deleted after it is written."""
+        before = {t["name"] for k in ("runs", "texts") for t in self.state[k]}
+        self.state = {**self.state, **changes, "version": self.state["version"] + 1}
+        self.spark.createDataFrame([(json.dumps(self.state),)], "m string").coalesce(1).write.text(f"{self.folder}/manifests/{self.state['version']:08d}")
+        for name in before - {t["name"] for k in ("runs", "texts") for t in self.state[k]}:
+            self.tables.drop(name)
+
+    def _write(self, df: DataFrame, key: str) -> dict:
+        """A run or a table of texts, with what the manifest says about it."""
+        return {"name": self.tables.write(df, key, self.state["buckets"]), "buckets": self.state["buckets"]}
 
-    def _merged(self, fresh: bool = False) -> DataFrame:
-        """All runs; with fresh, a column that marks the newest. The union keeps their buckets."""
-        parts = [self.spark.table(name) for name in self.runs]
-        if fresh:
-            parts = [p.withColumn("fresh", F.lit(i == len(parts) - 1)) for i, p in enumerate(parts)]
-        return reduce(DataFrame.unionByName, parts)
+    def _table(self, entry: dict, key: str) -> DataFrame:
+        return self.tables.read(entry["name"], POSTINGS if key == "cell" else TEXTS, key, entry["buckets"])
 
-    def add(self, batch: DataFrame, texts: DataFrame) -> DataFrame:
-        """Index batch(doc_id, text) and return doc_id, at: its windows that start in an earlier document.
+    def texts(self) -> list[DataFrame]:
+        """doc_id, text, copy of all documents, in tables bucketed by doc_id."""
+        return [self._table(t, "doc_id") for t in self.state["texts"]]
 
-        texts has the texts of all documents added so far, this batch included.
+    def _frequent(self, batch: DataFrame) -> list[int]:
+        """Fingerprints in one of PARTS documents of a sample or more, at most MOST_FREQUENT."""
+        some = batch.sample(0.01, 20).select("doc_id", "text")
+        found = fingerprints(some, self.window, self.gram).select("fp").union(some.select(F.lit(None).cast("long")))
+        counts = found.groupBy("fp").count().where("count > 3").orderBy(F.col("fp").isNotNull(), F.desc("count"), "fp").limit(MOST_FREQUENT + 1).collect()
+        # the null one, which every document has, comes first
+        return [r["fp"] for r in counts[1:] if r["count"] * PARTS > counts[0]["count"]]
+
+    def _with_cells(self, postings: DataFrame, frequent: list[int]) -> DataFrame:
+        spread = F.xxhash64("fp", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)))
+        cell = F.when(F.col("fp").isin(frequent), spread).otherwise(F.col("fp")) if frequent else F.col("fp")
+        return postings.select(cell.alias("cell"), "fp", "doc_id")
+
+    def update(self, batch: DataFrame) -> DataFrame:
+        """Index batch(doc_id, text and perhaps copy) and return doc_id, start: its windows that start in an indexed document with a smaller doc_id.
+
+        Documents marked as copies (of a smaller doc_id, in the index or the batch) are
+        stored without postings. Frequent fingerprints of old runs may have one cell
+        there and several in new ones, so they are joined across cells.
         """
-        before = bool(self.runs)
-        self.runs.append(self.tables.write(fingerprints(batch, self.window, self.gram), "fp"))
-        merged = self._merged(True)
-        shared = merged.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("fresh").alias("now")).where("a <> b AND now").select("fp")
+        if len(self.runs) >= self.fanout:
+            self.compact()
         scratch = Scratch(self.spark, "substrings")
-        places = scratch.save(merged.join(shared.hint("merge"), "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "places")
-        found = scratch.save(windows_at(texts.select("doc_id", "text").join(places.hint("merge"), "doc_id"), self.window, self.gram), "windows")
+        copy = F.col("copy") if "copy" in batch.columns else F.lit(False).alias("copy")
+        texts = self._write(batch.where("doc_id IS NOT NULL").select("doc_id", "text", copy), "doc_id")
+        own = self._table(texts, "doc_id").where("NOT copy")
+        new = self._frequent(own)
+        frequent = sorted({*self.state["frequent"], *new})
+        run = self._write(self._with_cells(fingerprints(own, self.window, self.gram), new), "cell")
+        old = self.state["runs"]
+        self._commit(runs=[*old, run], texts=[*self.state["texts"], texts], frequent=frequent)
+        places = scratch.save(self._shared(run, old, frequent).groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "places")
+        parts = []
+        for entry in self.state["texts"]:
+            known = self._table(entry, "doc_id").where("NOT copy").select("doc_id", "text")
+            at = windows_at(known.join(places.hint("merge"), "doc_id"), self.window, self.gram)
+            parts.append(at.withColumn("fresh", F.lit(entry["name"] == texts["name"])))
+        found = scratch.save(union_all(parts), "windows")
         scratch.drop(places)
-        # written first, so that the join below can split a frequent window among tasks
-        least = scratch.save(found.groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("w1", "w2", "a"), "first")
-        later = found.join(least, ["w1", "w2"]).where("doc_id > a").select("doc_id", "at")
-        if before:
-            later = later.join(batch.select("doc_id").distinct(), "doc_id", "left_semi")
+        equal = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("size")).where("a <> b").drop("b")
+        # written first, so that frequent windows need not meet in one task
+        later = join_groups(found, scratch.save(equal, "first"), ["w1", "w2"]).where("fresh AND doc_id > a")
         out = scratch.save(later.groupBy("doc_id").agg(F.collect_set("at").alias("start")), "repeats")
-        scratch.drop(found, least)
-        if len(self.runs) >= self.fanout:
-            self.compact()
+        scratch.drop(found)
         return out
 
+    def _shared(self, run: dict, old: list[dict], frequent: list[int]) -> DataFrame:
+        """fp, doc_id: postings of the new run and the old ones whose fingerprint the new one shares with another document."""
+        is_frequent = F.col("fp").isin(frequent) if frequent else F.lit(False)
+        rare = lambda r: self._table(r, "cell").where(~is_frequent)
+        new = rare(run)
+        twice = new.groupBy("cell", "fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b")
+        # merge joins of bucketed tables: nothing is shuffled
+        parts = [new.join(twice.select("cell").hint("merge"), "cell", "left_semi")]
+        for r in old:
+            parts += [new.join(rare(r).select("cell").hint("merge"), "cell", "left_semi"), rare(r).join(new.select("cell").hint("merge"), "cell", "left_semi")]
+        if frequent:
+            wide = union_all([self._table(r, "cell").where(is_frequent).withColumn("fresh", F.lit(r is run)) for r in [*old, run]])
+            span = wide.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("fresh").alias("now"))
+            # a row for each frequent one
+            parts.append(wide.join(F.broadcast(span.where("a <> b AND now").select("fp")), "fp", "left_semi"))
+        return union_all([p.select("fp", "doc_id") for p in parts])
+
     def compact(self) -> None:
-        """Merge all runs into one."""
-        merged = self.tables.write(self._merged(), "fp")
-        for name in self.runs:
-            self.tables.drop(name)
-        self.runs = [merged]
+        """Merge all runs into one, and all texts; more rows are dealt into more buckets."""
+        runs, texts = ([self._table(t, key) for t in self.state[k]] for k, key in (("runs", "cell"), ("texts", "doc_id")))
+        rows = union_all(runs).count()
+        self.state = {**self.state, "buckets": max(self.state["buckets"], -(-rows // BUCKET_ROWS))}
+        # all runs get the cells of the newest list
+        merged = self._with_cells(union_all(runs).select("fp", "doc_id"), self.state["frequent"])
+        self._commit(runs=[self._write(merged, "cell")], texts=[self._write(union_all(texts), "doc_id")])
 
     def close(self) -> None:
-        for name in self.runs:
-            self.tables.drop(name)
-        self.runs = []
+        """Delete the index."""
+        remove(self.spark, self.folder)
 
 
 def batches_of(docs: DataFrame, n: int) -> list[tuple[int | None, int | None]]:
@@ -208,18 +312,18 @@ def batches_of(docs: DataFrame, n: int) -> list[tuple[int | None, int | None]]:
     return list(zip(edges, edges[1:], strict=False))
 
 
-def drop_repeated_windows(docs: DataFrame, window: int = 13, gram: int = 5, n_batches: int = 2) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (text): docs without the words that earlier documents repeat."""
+def drop_repeated_windows(docs: DataFrame, window: int = 13, gram: int = 5, n_batches: int = 3) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (text): docs without the words that earlier documents repeat.
+
+    A new index takes the documents in batches by doc_id; the third and later ones
+    meet the compacted run of those before.
+    """
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     scratch = Scratch(spark, "fingerprints")
-    known, texts = docs.where("doc_id IS NOT NULL"), bucketed_texts(docs, scratch)
-    index = FingerprintIndex(spark, scratch.root, window, gram)
-    found, upto = [], None
-    for low, high in batches_of(known, n_batches):
-        own = texts.where("NOT copy")
-        upto = own if high is None else own.where(F.col("doc_id") <= high)
-        found.append(index.add(upto if low is None else upto.where(F.col("doc_id") > low), upto))
-    index.close()
-    spans = reduce(DataFrame.unionByName, found).select("doc_id", "start", F.transform("start", lambda x: x + window).alias("stop"))
+    index, found, own = FingerprintIndex(spark, f"{scratch.root}/index", window, gram), [], marked(docs, scratch)
+    for low, high in batches_of(docs, n_batches):
+        batch = own if low is None else own.where(F.col("doc_id") > low)
+        found.append(index.update(batch if high is None else batch.where(F.col("doc_id") <= high)))
+    spans = union_all(found).select("doc_id", "start", F.transform("start", lambda x: x + window).alias("stop"))
     rest = docs.where("doc_id IS NULL")
-    return without_spans(texts, spans, window).unionByName(without_spans(rest, spans.limit(0), window))
+    return union_all([*(without_spans(t, spans, window) for t in index.texts()), without_spans(rest, spans.limit(0), window)])

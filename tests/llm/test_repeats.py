@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from quarrylog.llm import linedup, minimisers, substrings, suffixes
 from quarrylog.llm.scratch import Scratch
 
@@ -53,17 +55,74 @@ def test_windows(spark, docs):
 
 
 def test_passages(spark, docs):
-    for size, largest in ((50, 16), (20, 2)):
-        got = {r[0]: tuple(r[1:]) for r in suffixes.drop_repeated_passages(docs, size, 8, largest).collect()}
+    for size in (50, 20):
+        got = {r[0]: tuple(r[1:]) for r in suffixes.drop_repeated_passages(docs, size, 8).collect()}
         assert got == brute_windows(corpus(), size)
 
 
 def test_one_passage_in_many_documents(spark):
+    """A hot group: its suffixes are sorted in several tasks, and intervals go on over their borders."""
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, f"a{i} b{i} c{i} {passage} d{i} e{i}") for i in range(40)]
-    for largest in (100, 5):
-        got = {r[0]: tuple(r[1:]) for r in suffixes.drop_repeated_passages(make(spark, rows), 50, 10, largest).collect()}
-        assert got == brute_windows(rows, 50)
+    rows += [(i, f"a{i} {passage[: 3 * i]} other words {passage} {passage}") for i in range(40, 60)]
+    got = {r[0]: tuple(r[1:]) for r in suffixes.drop_repeated_passages(make(spark, rows), 50, 10).collect()}
+    assert got == brute_windows(rows, 50)
+
+
+def test_intervals_over_borders(spark):
+    """Intervals of the sorted suffixes are those of one task, wherever its rows are cut into tasks."""
+    right = sorted([b"a b c ", b"a b c ", b"a b d ", b"a b d ", b"a e f ", b"b ", b"b b b ", b"b b b ", b"b b b ", b"c d e "])
+
+    def windows(parts):
+        rows = [(i, 0, r, b"", 0, 0) for i, r in enumerate(right)]
+        schema = "doc_id long, at int, right binary, left binary, low int, high int"
+        table = spark.createDataFrame(rows, schema)
+        cut = table.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+        found = suffixes.intervals(cut, 3).collect()
+        edges = sorted(((r.node, bytes(r.edge), r.opened) for r in found if r.edge is not None), key=lambda e: (e[0], e[2] is not None))
+        begin = {(n, d): b for n, d, b in suffixes.bordering(edges, 3)}
+        node = {r.doc_id: begin.get((r.node, r.depth), r.node) for r in found if r.edge is None}
+        groups = {}
+        for d, n in node.items():
+            groups.setdefault(n, set()).add(d)
+        return sorted(sorted(g) for g in groups.values() if len(g) > 1), len(edges)
+
+    want = [[0, 1], [2, 3], [6, 7, 8]]
+    for parts in (1, 2, 3, 5, 10):
+        assert windows(parts)[0] == want
+
+
+def thue_morse(n, swap=False):
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+def test_words_with_cancelling_sums(spark):
+    """Long words whose polynomial hashes modulo 2**64 agree are different words."""
+    x, y = thue_morse(2048), thue_morse(2048, True)
+    head = " ".join(f"h{i}" for i in range(12))
+    rows = [(1, f"{head} {x}"), (2, f"{head} {y}"), (3, f"{head} {x}")]
+    got = {r.doc_id: r.n_removed for r in substrings.drop_repeated_windows(make(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+    head = " ".join(f"h{i}" for i in range(49))
+    rows = [(1, f"{head} {x}"), (2, f"{head} {y}"), (3, f"{head} {x}")]
+    got = {r.doc_id: r.n_removed for r in suffixes.drop_repeated_passages(make(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+
+
+def test_very_long_words(spark):
+    big = "z" * 300_000
+    rows = [(i, " ".join([f"s{i}"] + [f"w{k}" for k in range(30)] + [big + "1"] + [f"v{k}" for k in range(30)])) for i in range(3)]
+    rows.append((9, rows[0][1].replace(big + "1", big + "2")))
+    for found, size in ((substrings.drop_repeated_windows(make(spark, rows), 13), 13), (suffixes.drop_repeated_passages(make(spark, rows), 50), 50)):
+        assert {r[0]: tuple(r[1:]) for r in found.collect()} == brute_windows(rows, size)
+
+
+def test_one_id_with_different_texts(spark):
+    """They are one document: what one of them repeats from the other stays, what others repeat from either goes."""
+    p, q = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    rows = [(5, p), (5, q), (5, f"{p} x"), (7, f"{p} y"), (8, f"{q} z"), (3, "short")]
+    for found in (substrings.drop_repeated_windows(make(spark, rows)), suffixes.drop_repeated_passages(make(spark, rows))):
+        assert sorted((r.doc_id, r.n_words, r.n_removed) for r in found.collect()) == [(3, 1, 0), (5, 60, 0), (5, 60, 0), (5, 61, 0), (7, 61, 60), (8, 61, 60)]
 
 
 def test_lines(spark):
@@ -103,20 +162,66 @@ def test_awkward_rows(spark, awkward):
     assert suffixes.drop_repeated_passages(empty).count() == 0
 
 
-def test_compaction_keeps_all_postings(spark):
-    scratch = Scratch(spark, "t")
-    index = substrings.FingerprintIndex(spark, scratch.root, window=5, gram=3, buckets=4, fanout=3)
-    parts = [make(spark, corpus(s)).where("doc_id > 5") for s in (1, 2, 3, 4)]
-    sizes = []
-    for i, p in enumerate(parts):
-        shifted = p.selectExpr(f"doc_id + {1000 * i} AS doc_id", "text")
-        index.add(shifted, shifted)
+def test_ranks_and_intervals(spark):
+    """Ranks order the runs at each depth as their line ids do; intervals are the positions of equal runs; doubling ends at the longest repeat."""
+    seqs = {1: "a b a b a b c", 2: "a b a b x", 3: "c a b a", 4: "q"}
+    docs = make(spark, [(d, "\n".join(t.split())) for d, t in seqs.items()])
+    lines = linedup.line_ids(docs).cache()
+    ids = {(r.doc_id, r.j): bytes(r.line) for r in lines.collect()}
+    found = linedup.suffix_intervals(lines, 2, Scratch(spark, "t"))
+    assert [d for d, _ in found] == [1, 2, 4]
+    for depth, table in found:
+        runs = {}
+        for d, t in seqs.items():
+            for j in range(len(t.split()) - depth + 1):
+                runs.setdefault(tuple(ids[d, j + i] for i in range(depth)), []).append((d, j))
+        runs = {k: v for k, v in runs.items() if len(v) > 1}
+        got = table.collect()
+        by_rank = {}
+        for r in got:
+            by_rank.setdefault(r.rank, []).append((r.doc_id, r.j))
+            assert (r.first.doc_id, r.first.j) == min(v for v in runs.values() if (r.doc_id, r.j) in v)[0]
+        assert [sorted(by_rank[r]) for r in sorted(by_rank)] == [sorted(runs[k]) for k in sorted(runs)]
+
+
+def test_maximal_runs(spark):
+    block = [f"line {i}" for i in range(100)]
+    rows = [(1, "\n".join(block)), (2, "\n".join(["new", *block[10:73], "mid", *block[5:7], "end"]))]
+    gone = linedup.later_copies(make(spark, rows).select("doc_id", "text"), 2, Scratch(spark, "t")).collect()
+    assert [(r.doc_id, [tuple(x) for x in r.runs]) for r in gone] == [(2, [(1, 64), (65, 67)])]
+
+
+def test_index_goes_on_in_a_new_session(spark):
+    """Batches after reopening meet the runs of those before; a compacted run is what later batches read."""
+    rows = [(1000 * k + d, t) for k, seed in enumerate((1, 2, 1, 3, 2)) for d, t in corpus(seed, 40) if d > 5]
+    want = brute_windows(rows, 5)
+    folder = Scratch(spark, "t").root + "/index"
+    found, sizes = {}, []
+    for k in range(5):
+        index = substrings.FingerprintIndex(spark, folder, window=5, gram=3, buckets=4, fanout=2)
+        batch = make(spark, [r for r in rows if r[0] // 1000 == k])
+        found |= {r.doc_id: r.start for r in index.update(batch).collect()}
         sizes.append(len(index.runs))
-    assert sizes == [1, 2, 1, 2]
-    total = sum(spark.table(r).count() for r in index.runs)
-    assert total == sum(substrings.fingerprints(p, 5, 3).count() for p in parts)
+    assert sizes == [1, 2, 2, 2, 2]
+    for d, (n, gone, _) in want.items():
+        cover = {i + k for i in found.get(d, []) for k in range(5)}
+        assert len(cover) == gone, d
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
+    assert sum(t.count() for t in index.texts()) == len(rows)
     index.close()
-    assert not index.runs
+
+
+def test_frequent_fingerprints_take_many_buckets(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(i, f"a{i} b{i} c{i} {passage} d{i} e{i}") for i in range(200)]
+    folder = Scratch(spark, "t").root + "/index"
+    index = substrings.FingerprintIndex(spark, folder, buckets=4)
+    index._frequent = lambda batch: [r.fp for r in substrings.fingerprints(batch, 13, 5).groupBy("fp").count().where("count > 50").collect()]
+    first = index.update(make(spark, rows[:100])).count()
+    again = index.update(make(spark, rows[100:])).collect()
+    assert first == 99 and index.state["frequent"]
+    assert index._table(index.state["runs"][1], "cell").where(F.col("fp").isin(index.state["frequent"])).select("cell").distinct().count() > 20
+    assert len(again) == 100 and all(sorted(r.start) == list(range(3, 11)) for r in again)
 
 
 def test_minimisers_agree_between_copies():
