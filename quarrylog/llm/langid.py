@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylog.llm.columns import free_prefix
 from quarrylog.llm.textcols import SLICE_BYTES
 
 SEGMENT = 256
@@ -277,7 +278,7 @@ def predict(docs: DataFrame, samples: dict[str, str], carry: list[str] | None =
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), *more], names=[*carry, *added])
                 at = to
 
-    rows = docs.select(*(f"`{c}`" for c in carry), F.col("text").alias("__text"))
+    rows = docs.select(*(f"`{c}`" for c in carry), F.col("text").alias(free_prefix(carry) + "text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{kinds}, `{added[0]}` string, `{added[1]}` double, `{added[2]}` double" + (f", `{added[3]}` double" if own else ""))
 

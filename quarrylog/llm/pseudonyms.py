@@ -11,6 +11,9 @@ IBANs (mod 97), payment cards (Luhn), IPv4 addresses, social security numbers,
 phone numbers and dates. Separators, letter case and lengths are kept. Numbers
 that fail their rule stay as they are.
 
+Texts are read a fixed number of times, however many keywords, key block lines or
+signs they hold, so that time grows with their length.
+
 Null texts stay null and empty ones empty; all other columns, ids and repeated
 rows are carried through.
 """
@@ -22,20 +25,21 @@ import hashlib
 import json
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 ROUNDS = 10
+#: Characters permuted as one number.
+PIECE = 256
 DIGITS, LOWER, UPPER, HEX_LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdef"
 EPOCH, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
+#: Values of bounded length, and keys that end where their characters do.
 PATTERN = re.compile(
-    r"(?P<block>-----BEGIN (?P<label>[A-Z ]*PRIVATE KEY)-----.*?-----END (?P=label)-----)"
-    r"|(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w@]))"
-    r"|(?P<access>(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9]))"
-    r"|(?P<assigned>(?i:(?:secret|token|passw(?:or)?d|api[_-]?key|access[_-]?key)\w*)[\"']?\s*[:=]\s*(?:(?P<quote>[\"'])(?P<quoted>[^\"'\s]{6,})(?P=quote)|(?P<bare>(?=[A-Za-z_+/=.-]*[0-9])[A-Za-z0-9_+/=.-]{7,}[A-Za-z0-9_+/=])))"
+    r"(?P<access>(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9]))"
     r"|(?P<date>(?<![\w.,/-])(?:[0-9]{4}(?P<d1>[-/.])[0-9]{1,2}(?P=d1)[0-9]{1,2}|[0-9]{1,2}(?P<d2>[-/.])[0-9]{1,2}(?P=d2)[0-9]{4})(?!(?![Tt][0-9]{2})[\w/-]|[.,][0-9]))"
     r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))"
@@ -44,11 +48,78 @@ PATTERN = re.compile(
     r"|(?P<card>(?<![\w-])(?:[0-9]{13,19}|[0-9]{4}(?P<c1>[ -])[0-9]{4}(?P=c1)[0-9]{4}(?P=c1)[0-9]{1,7}|[0-9]{4}(?P<c2>[ -])[0-9]{6}(?P=c2)[0-9]{4,5})(?![\w]|-[0-9]))",
     re.DOTALL,
 )
-KINDS = ("block", "email", "access", "assigned", "iban", "date", "ip", "ssn", "phone", "card")
+BEGIN, END = (re.compile(rf"-----{m} ([A-Z ]*PRIVATE KEY)-----") for m in ("BEGIN", "END"))
+KEYWORD = re.compile(r"secret|token|passw(?:or)?d|api[_-]?key|access[_-]?key", re.IGNORECASE)
+NAME_REST, ASSIGNS = re.compile(r"\w*"), re.compile(r"[\"']?\s*[:=]\s*")
+QUOTED, BARE = re.compile(r"([\"'])([^\"'\s]{6,})\1"), re.compile(r"[A-Za-z0-9_+/=.-]*")
+LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
+DOMAIN, TOP, AFTER = re.compile(r"[A-Za-z0-9.-]*"), re.compile(r"[A-Za-z]{2,}"), re.compile(r"[\w@]")
 #: Without one of these a text holds nothing that PATTERN finds.
 HINT = re.compile(r"[0-9@]|PRIVATE KEY|AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza|(?i:secret|token|passw|key)")
 
 
+def blocks(text: str) -> Iterator[tuple[int, int, int]]:
+    """Where private key blocks begin and end: from each opening line to the first closing line of its label."""
+    ends: dict[str, list[tuple[int, int]]] = {}
+    for m in END.finditer(text):
+        ends.setdefault(m[1], []).append(m.span())
+    for m in BEGIN.finditer(text) if ends else ():
+        found = ends.get(m[1], [])
+        i = bisect_left(found, (m.end(), 0))
+        if i < len(found):
+            yield m.start(), m.start(), found[i][1]
+
+
+def emails(text: str) -> Iterator[tuple[int, int, int]]:
+    """Where e-mail addresses begin and end: each @ is looked at once, between those next to it."""
+    before, at = 0, text.find("@")
+    while at >= 0:
+        local = text[before:at]
+        local = local[len(local.rstrip(LOCAL)) :].lstrip("._%+-")
+        run = DOMAIN.match(text, at + 1)
+        if local and run.end() > at + 1 and (end := domain_end(text, at + 1, run.end())):
+            yield at - len(local), at - len(local), end
+        before, at = at + 1, text.find("@", at + 1)
+
+
+def domain_end(text: str, begin: int, end: int) -> int | None:
+    """The end of the longest host name (labels and a top-level domain of letters) that begins here."""
+    place, best = begin, None
+    for i, label in enumerate(text[begin:end].split(".")):
+        if i and (m := TOP.match(label)):
+            after = place + m.end()
+            if m.end() < len(label) and label[m.end()] == "-" or m.end() == len(label) and not AFTER.match(text, after):
+                best = after
+        if not label or label[0] == "-" or label[-1] == "-":
+            break
+        place += len(label) + 1
+    return best
+
+
+def assigned_values(text: str) -> Iterator[tuple[int, int, int]]:
+    """Names that hold a keyword and are given a value: where they begin, and the value. Each name and each run of value characters is read once."""
+    name_end = run_end = -1
+    digit = -1  # the last digit of the run
+    for m in KEYWORD.finditer(text):
+        if m.end() <= name_end:
+            continue
+        name_end = NAME_REST.match(text, m.end()).end()
+        mark = ASSIGNS.match(text, name_end)
+        if not mark:
+            continue
+        at = mark.end()
+        if q := QUOTED.match(text, at):
+            yield m.start(), *q.span(2)
+            continue
+        if at >= run_end:
+            run_end = BARE.match(text, at).end()
+            digit = max((text.rfind(d, at, run_end) for d in DIGITS), default=-1)
+        if digit >= at:
+            end = at + len(text[at:run_end].rstrip(".-"))
+            if end - at >= 8:
+                yield m.start(), at, end
+
+
 class Feistel:
     """Keyed permutations of the numbers below any bound."""
 
@@ -113,8 +184,11 @@ class Pseudonyms:
     def letters(self, text: str, tweak: str, fold: bool = False) -> str:
         """Permute letters and digits among those of their class; other characters stay.
 
-        With fold, letter case is put aside first and restored afterwards.
+        With fold, letter case is put aside first and restored afterwards. Longer texts
+        than PIECE are permuted piece by piece, each by its own number.
         """
+        if len(text) > PIECE:
+            return "".join(self.letters(text[i : i + PIECE], f"{tweak}|{i}", fold) for i in range(0, len(text), PIECE))
         plain = text.lower() if fold else text
         small = HEX_LETTERS if len(plain) >= 16 and all(c in DIGITS or c in HEX_LETTERS for c in plain) else LOWER
         classes = [DIGITS if c in DIGITS else small if c in LOWER else UPPER if c in UPPER else None for c in plain]
@@ -235,24 +309,47 @@ class Pseudonyms:
         if not HINT.search(text):
             return text, found
 
-        out, done, at = [], 0, 0
-        while m := PATTERN.search(text, at):
-            kind = next(k for k in KINDS if m[k] is not None)
-            begin, end = m.span()
-            if kind == "assigned":
-                begin, end = m.span("quoted" if m["quoted"] else "bare")
-            new = self.one(kind, text[begin:end])
-            if new is None:  # fails its rule: other values may begin within it
-                at = m.start() + 1
-                continue
-            out += [text[done:begin], new]
-            done = at = end
+        special = [(begin, order, kind, span) for order, (kind, find) in enumerate(FINDERS) for begin, *span in find(text)]
+        special.sort()
+        out, done, i, m = [], 0, 0, PATTERN.search(text)
+        while m or i < len(special):
+            # the leftmost first; at one place a block or an address goes before an access key, and that before an assigned value
+            if i < len(special) and (m is None or special[i][0] < m.start() or special[i][0] == m.start() and special[i][1] < 2):
+                begin, _, kind, (first, end) = special[i]
+                i += 1
+                if begin < done:
+                    continue
+                new = self.one(kind, text[first:end])
+            else:
+                kind, (first, end) = m.lastgroup, m.span()
+                new = self.one(kind, text[first:end])
+                while new is None and kind == "iban" and (blank := text.rfind(" ", first, end)) > 0:
+                    end = blank  # words that follow may be no part of it
+                    new = self.one(kind, text[first:end])
+                if new is None:  # fails its rule: other values may begin within it
+                    m = PATTERN.search(text, first + 1)
+                    continue
+            out += [text[done:first], new]
+            done = end
             found[kind] = found.get(kind, 0) + 1
+            if m and m.start() < done:
+                m = PATTERN.search(text, done)
         return "".join([*out, text[done:]]), found
 
 
-def pseudonymise(docs: DataFrame, key: str = "quarrylog", reverse: bool = False, found: str | None = None) -> DataFrame:
-    """docs with its column text rewritten; ``found`` names a further column: a JSON object of the numbers by kind."""
+FINDERS = (("block", blocks), ("email", emails), ("assigned", assigned_values))
+
+
+def pseudonymise(docs: DataFrame, key: str, reverse: bool = False, found: str | None = None) -> DataFrame:
+    """docs with its column text rewritten under a secret key.
+
+    ``found`` names a further column: a JSON object of the numbers by kind. It takes
+    the place of a column of docs with that name.
+    """
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    if found:
+        docs = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() != found.lower()))
     names = docs.columns
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema) + (f", `{found}` string" if found else "")
 

@@ -14,6 +14,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: The key of the registered queries, for the synthetic tables; real data takes its own from this setting.
+PII_KEY, PII_SETTING = "synthetic tables only", "spark.quarrylog.pii.key"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(PII_SETTING, PII_KEY)
+
+
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), percent=85, shingle=5)
 
@@ -35,7 +43,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    found = pseudonyms.pseudonymise(docs, found="found")
+    found = pseudonyms.pseudonymise(docs, pii_key(spark), found="found")
     return found.select("doc_id", "text", "found", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
