@@ -287,8 +287,9 @@ class FingerprintIndex:
         if frequent:
             wide = union_all([self._table(r, "cell").where(is_frequent).withColumn("fresh", F.lit(r is run)) for r in [*old, run]])
             span = wide.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("fresh").alias("now"))
-            # a row for each frequent one
-            parts.append(wide.join(F.broadcast(span.where("a <> b AND now").select("fp")), "fp", "left_semi"))
+            # at most as many as there are frequent ones
+            shared = [r["fp"] for r in span.where("a <> b AND now").select("fp").collect()]
+            parts.append(wide.where(F.col("fp").isin(shared) if shared else F.lit(False)))
         return union_all([p.select("fp", "doc_id") for p in parts])
 
     def compact(self) -> None:
