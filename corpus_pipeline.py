@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylog.llm import langid, linedup, neardup, packing, pseudonyms
+from quarrylog.llm.columns import free_prefix
+from quarrylog.llm.queries import pii_key
 from quarrylog.llm.scratch import Scratch, release
 
 #: Bits a character; text in a known language takes 3 to 5, unknown scripts over 10.
@@ -42,13 +44,15 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.predict(docs, langid.sample_texts(docs), carry=docs.columns, prefix="__", own=True)
-    return found.where(F.col("__bits") <= F.greatest(F.lit(MOST_BITS), MOST_OWN * F.col("__own"))).select(*(f"`{c}`" for c in docs.columns))
+    own = free_prefix(docs.columns)
+    found = langid.predict(docs, langid.sample_texts(docs), carry=docs.columns, prefix=own, own=True)
+    return found.where(F.col(f"{own}bits") <= F.greatest(F.lit(MOST_BITS), MOST_OWN * F.col(f"{own}own"))).select(*(f"`{c}`" for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = linedup.drop_repeated_lines(docs, min_lines=2, prefix="__", line_words=LINE_WORDS)
-    emptied = (F.col("__n_removed") > 0) & (F.col("__n_removed") == F.col("__n_lines"))
+    own = free_prefix(docs.columns)
+    kept = linedup.drop_repeated_lines(docs, min_lines=2, prefix=own, line_words=LINE_WORDS)
+    emptied = (F.col(f"{own}n_removed") > 0) & (F.col(f"{own}n_removed") == F.col(f"{own}n_lines"))
     return with_length(kept.where(~emptied).select(*(f"`{c}`" for c in docs.columns)))
 
 
@@ -58,7 +62,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return with_length(pseudonyms.pseudonymise(docs))
+    return with_length(pseudonyms.pseudonymise(docs, pii_key(spark)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
