@@ -4,10 +4,12 @@ Each task packs its own documents in the order it reads them. A document longer
 than the window fills whole windows first; its remainder goes to the open window
 whose fill level makes the sum of squares of the numbers of windows per level
 smallest. A level array holds those numbers. Windows leave the task when they
-are full. What is still open at the end (or when open windows hold more than
-``max_open_tokens``) is joined and cut anew: whole windows, and at the very end
-windows whose lengths are powers of two. So no window needs padding, and a
-task's memory is bounded by the open windows.
+are full. At the end, the windows that the rule has filled most are completed as
+they are, with ids of the emptiest ones, which alone are taken apart; what is left
+of the last one goes to windows whose lengths are powers of two. So no window
+needs padding. When open windows hold more than ``max_open_tokens``, the fullest
+are completed in the same way until half of that is left, so that a task's memory
+is bounded.
 
 Null or empty texts hold the end id alone. Repeated rows are packed as often as
 they occur; a null doc_id is carried through. An empty table gives no rows.
@@ -17,6 +19,7 @@ Other columns are not read.
 from __future__ import annotations
 
 import base64
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -91,27 +94,59 @@ class LevelPacker:
         return self.close(False) if self.open_tokens > self.max_open else []
 
     def close(self, last: bool) -> list[tuple[int, list]]:
-        """Join what is open and cut it into full windows; at the end also into powers of two."""
-        pieces = [p for h in sorted(self.open) for window in self.open[h] for p in window]
-        self.open, self.open_tokens = {}, 0
-        self.level[:] = 0
-        total, done, at, i = sum(len(p[3]) for p in pieces), [], 0, 0
-        pieces.reverse()
-        while total >= self.window or (last and total):
-            room = size = self.window if total >= self.window else 1 << (total.bit_length() - 1)
-            held = []
+        """Complete the fullest open windows with the ids of the emptiest, until none (at the end) or half of max_open_tokens are open."""
+        goal = 0 if last else self.max_open // 2
+        queue = deque((h, w) for h in sorted(self.open) for w in self.open[h])
+        pool: list = []  # of windows taken apart, last piece first
+        done, rest = [], []
+        while queue and self.open_tokens > goal and not rest:
+            h, pieces = queue.pop()
+            room = self.window - h
+            while room and (pool or queue):
+                if not pool:
+                    pool = queue.popleft()[1][::-1]
+                part, left = self._cut(pool.pop(), room)
+                pieces.append(part)
+                room -= len(part[3])
+                if left:
+                    pool.append(left)
+            if room:
+                rest = pieces
+            else:
+                done.append(self._number(pieces))
+                self.open_tokens -= self.window
+        rest += pool[::-1]
+        if last:
+            done += self._powers(rest)
+            rest = []
+        self.open, self.level[:] = {}, 0
+        for pieces in [*(w for _, w in queue), *([rest] if rest else [])]:
+            h = sum(len(p[3]) for p in pieces)
+            self.open.setdefault(h, []).append(pieces)
+            self.level[h] += 1
+        self.open_tokens = sum(h * int(n) for h, n in enumerate(self.level))
+        return done
+
+    @staticmethod
+    def _cut(piece: tuple, room: int) -> tuple[tuple, tuple | None]:
+        """The first ``room`` ids of a piece, and what follows."""
+        doc, start, doc_tokens, ids = piece
+        return (doc, start, doc_tokens, ids[:room]), (doc, start + room, doc_tokens, ids[room:]) if len(ids) > room else None
+
+    def _powers(self, pieces: list) -> list[tuple[int, list]]:
+        """Windows whose lengths are powers of two, from less than one window."""
+        done, left = [], pieces[::-1]
+        total = sum(len(p[3]) for p in pieces)
+        while total:
+            room = 1 << (total.bit_length() - 1)
+            total, held = total - room, []
             while room:
-                doc, start, doc_tokens, ids = pieces.pop()
-                if len(ids) > room:
-                    pieces.append((doc, start + room, doc_tokens, ids[room:]))
-                    ids = ids[:room]
-                held.append((doc, start, doc_tokens, ids))
-                room -= len(ids)
-            total -= size
+                part, more = self._cut(left.pop(), room)
+                held.append(part)
+                room -= len(part[3])
+                if more:
+                    left.append(more)
             done.append(self._number(held))
-        if pieces:  # less than a window: open again
-            self.open[total] = [pieces[::-1]]
-            self.level[total], self.open_tokens = 1, total
         return done
 
     def _number(self, pieces: list) -> tuple[int, list]:

@@ -62,6 +62,34 @@ def test_choice_minimises_the_sum_of_squares():
         p.add((0, 0, 0, np.zeros(size, "<u4")))
 
 
+def test_ids_are_those_of_the_tokenizers_library(spark):
+    """Independent of the operator's own encoder and of the ranks file it reads."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = corpus(4) + [(900, "\u4f60\u597d \U0001f600\u200d\U0001f469 \u0915\u094d\u0937 e\u0301 \u00a0\u2003x"), (901, "a\r\n\r\n  b\t\tc   "), (902, "don't WE'LL 12345678 ...!!!"), (903, "<|endoftext|> x"), (904, "\x00\x01 \ufffd")]
+    pieces = defaultdict(list)
+    for p in packing.pack(make(spark, rows)).collect():
+        pieces[p.doc_id].append((p.start, bytes(p.ids)))
+    for doc, text in rows:
+        got = np.frombuffer(b"".join(i for _, i in sorted(pieces[doc])), "<u4").tolist()
+        assert got == [*library.encode(text or "", add_special_tokens=False).ids, 1], doc
+
+
+def test_what_the_rule_placed_stays():
+    """Closing cuts few documents of the open windows; the others stay together as the level rule placed them."""
+    rng = np.random.default_rng(5)
+    p = packing.LevelPacker(2048, 0, 10**9)
+    for doc, size in enumerate(rng.integers(20, 1500, 2000).tolist()):
+        p.add((doc, 0, size, np.zeros(size, "<u4")))
+    kept = sum(sum(len(x[3]) for x in w) for ws in p.open.values() for w in ws)
+    done = p.close(True)
+    same = sum(sum(len(x[3]) for x in w if x[1] == 0 and len(x[3]) == x[2]) for _, w in done)
+    assert sum(len(x[3]) for _, w in done for x in w) == kept
+    assert same >= 0.85 * kept
+
+
 def test_awkward_rows(spark, awkward):
     got = packing.pack(awkward)
     tokens = got.groupBy("doc_id").sum("length").collect()
