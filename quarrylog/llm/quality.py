@@ -1,18 +1,20 @@
 """Quality rules and robust multivariate outliers, in DataFrame operations alone.
 
 Base rules judge a document by its own counts. Those that pass are compared with
-their group: for each language and source, an approximation of the minimum
-covariance determinant gives a centre and a scatter matrix that outliers cannot pull away, and a
+their group: for each language and source, a minimum covariance determinant
+estimate gives a centre and a scatter matrix that outliers cannot pull away, and a
 document whose transformed statistics lie too far from the centre, by
 Mahalanobis distance, is rejected.
 
-The estimate starts from medians and median absolute deviations, and takes
-concentration steps: mean and covariance over the ``share`` of a group's rows
-that are nearest so far, from this one start and in a fixed number (Rousseeuw and Van Driessen, 1999; Hubert, Rousseeuw and
-Verdonck, "A deterministic algorithm for robust location and scatter", 2012).
-Every step is a grouped aggregate that Spark combines before the shuffle. The
-scatter is scaled for consistency, and each statistic's variance gets a floor,
-so that statistics which are zero nearly everywhere do no harm.
+The estimate is made as in the deterministic algorithm (Rousseeuw and Van Driessen, 1999;
+Hubert, Rousseeuw and Verdonck, "A deterministic algorithm for robust location
+and scatter", 2012), with three of its kinds of starts: from each, concentration steps take mean and covariance over
+the ``share`` of a group's rows that are nearest so far, until the determinant
+settles, and the start with the smallest determinant counts. Quantiles are
+approximate (percentile_approx), so subsets may differ from exact ones by a
+2000th of a group. Every step is a grouped aggregate that Spark combines before
+the shuffle. The scatter is scaled for consistency, and each statistic's variance
+gets a floor, so that statistics which are zero nearly everywhere do no harm.
 
 Sources with fewer than ``least_rows`` usable rows are pooled by language, and
 what is still too small is pooled altogether; a pool that stays too small gives
@@ -121,31 +123,70 @@ def _factor(table: DataFrame) -> DataFrame:
     return table
 
 
-def _with_distance(rows: DataFrame, model: DataFrame) -> DataFrame:
+def _with_distance(rows: DataFrame, model: DataFrame, *more: str) -> DataFrame:
     p = len(STATISTICS)
     lower = {(i, j): F.col(f"l_{i}_{j}") for i in range(p) for j in range(i + 1)}
     joined = rows.join(model, "pool", "left")
-    return joined.withColumn("distance", _distance({x: F.col(f"c_{x}") for x in STATISTICS}, lower)).select(*rows.columns, "distance")
+    return joined.withColumn("distance", _distance({x: F.col(f"c_{x}") for x in STATISTICS}, lower)).select(*rows.columns, *more, "distance")
 
 
-def robust_distances(rows: DataFrame, scratch: Scratch, share: float = 0.75, steps: int = 3, accuracy: int = 2000) -> DataFrame:
-    """rows(pool, base_failed, x_...) with distance: squared and robust, null without a pool."""
-    p, usable = len(STATISTICS), rows.where("NOT base_failed AND pool IS NOT NULL").select("pool", *STATISTICS)
+def starts(usable: DataFrame, scratch: Scratch, accuracy: int) -> DataFrame:
+    """pool, start, c_x, l_i_j: centres (medians) and factored scatters from which concentration sets out.
+
+    diagonal: median absolute deviations alone. tanh: covariance of the hyperbolic
+    tangents of the scaled statistics. pairwise: correlations from the median absolute
+    deviations of each two statistics' sums and differences (Gnanadesikan and
+    Kettenring), which a minority off the line of the rest does not change.
+    """
+    p = len(STATISTICS)
     median = lambda c: F.percentile_approx(c, F.lit(0.5), F.lit(accuracy))
     centre = scratch.save(usable.groupBy("pool").agg(*(median(x).alias(f"c_{x}") for x in STATISTICS)), "medians")
     spread = usable.join(centre, "pool").groupBy("pool").agg(*(median(F.abs(F.col(x) - F.col(f"c_{x}"))).alias(f"d_{i}") for i, x in enumerate(STATISTICS)))
-    start = centre.join(spread, "pool").select("pool", *(f"c_{x}" for x in STATISTICS), *(
-        (F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(FLOORS[STATISTICS[i]])) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(p) for j in range(i + 1)
-    ))
-    model = scratch.save(start, "start")
+    scale = [F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(FLOORS[x])).alias(f"s_{i}") for i, x in enumerate(STATISTICS)]
+    scaled = scratch.save(centre.join(spread, "pool").select("pool", *(f"c_{x}" for x in STATISTICS), *scale), "scales")
+    z = [(F.col(x) - F.col(f"c_{x}")) / F.col(f"s_{i}") for i, x in enumerate(STATISTICS)]
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    shaped = usable.join(scaled, "pool").select("pool", *(c.alias(f"z_{i}") for i, c in enumerate(z)), *(F.tanh(c).alias(f"t_{i}") for i, c in enumerate(z)))
+    apart = [median(F.abs(F.col(f"z_{i}") + s * F.col(f"z_{j}"))).alias(f"{n}_{i}_{j}") for i, j in pairs if i < j for n, s in (("a", 1), ("b", -1))]
+    known = scaled.join(shaped.groupBy("pool").agg(*(F.covar_pop(f"t_{i}", f"t_{j}").alias(f"t_{i}_{j}") for i, j in pairs), *apart), "pool")
+
+    def pairwise(i: int, j: int) -> Column:
+        a, b = F.col(f"a_{i}_{j}") * F.col(f"a_{i}_{j}"), F.col(f"b_{i}_{j}") * F.col(f"b_{i}_{j}")
+        return 0.98 * (a - b) / F.greatest(a + b, F.lit(1e-12))
+
+    one_of = {"diagonal": lambda i, j: F.lit(0.0), "tanh": lambda i, j: F.col(f"t_{i}_{j}"), "pairwise": pairwise}
+    each = [
+        known.select("pool", F.lit(name).alias("start"), *(f"c_{x}" for x in STATISTICS), *(
+            ((F.lit(1.0) if i == j and name != "tanh" else of(i, j)) * F.col(f"s_{i}") * F.col(f"s_{j}") + (FLOORS[STATISTICS[i]] ** 2 if i == j else 0)).alias(f"v_{i}_{j}") for i, j in pairs
+        )) for name, of in one_of.items()
+    ]
+    return _factor(reduce(DataFrame.unionByName, each))
+
+
+def robust_distances(rows: DataFrame, scratch: Scratch, share: float = 0.75, steps: int = 8, accuracy: int = 2000, tolerance: float = 0.01) -> DataFrame:
+    """rows(pool, base_failed, x_...) with distance: squared and robust, null without a pool.
+
+    Concentration goes on until no pool's log determinant changes by more than
+    ``tolerance`` from any start, or for ``steps`` steps; of a pool's starts the one
+    with the smallest determinant counts.
+    """
+    p, usable = len(STATISTICS), rows.where("NOT base_failed AND pool IS NOT NULL").select("pool", *STATISTICS)
+    size = 2 * reduce(lambda a, b: a + b, (F.log(F.col(f"l_{i}_{i}")) for i in range(p)))
+    model = scratch.save(starts(usable, scratch, accuracy).withColumn("size", size), "start")
     for step in range(steps):
-        far = _with_distance(usable, model)
-        edge = scratch.save(far.groupBy("pool").agg(F.percentile_approx("distance", F.lit(share), F.lit(accuracy)).alias("edge")), f"edge{step}")
-        near = far.join(edge, "pool").where("distance <= edge")
-        moments = near.groupBy("pool").agg(*(F.avg(x).alias(f"c_{x}") for x in STATISTICS), *(F.covar_pop(STATISTICS[i], STATISTICS[j]).alias(f"v_{i}_{j}") for i in range(p) for j in range(i, p)))
+        far = _with_distance(usable, model, "start")
+        edge = scratch.save(far.groupBy("pool", "start").agg(F.percentile_approx("distance", F.lit(share), F.lit(accuracy)).alias("edge")), f"edge{step}")
+        near = far.join(edge, ["pool", "start"]).where("distance <= edge")
+        moments = near.groupBy("pool", "start").agg(*(F.avg(x).alias(f"c_{x}") for x in STATISTICS), *(F.covar_pop(STATISTICS[i], STATISTICS[j]).alias(f"v_{i}_{j}") for i in range(p) for j in range(i, p)))
         scaled = moments.withColumns({f"v_{i}_{j}": CONSISTENCY * F.col(f"v_{i}_{j}") + (FLOORS[STATISTICS[i]] ** 2 if i == j else 0) for i in range(p) for j in range(i, p)})
-        model = scratch.save(_factor(scaled), f"step{step}")
-    return _with_distance(rows, model)
+        after = scratch.save(_factor(scaled).withColumn("size", size), f"step{step}")
+        moved = after.select("pool", "start", "size").join(model.select("pool", "start", F.col("size").alias("before")), ["pool", "start"])
+        model = after
+        if step and (moved.agg(F.max(F.abs(F.col("size") - F.col("before")))).first()[0] or 0.0) <= tolerance:
+            break
+    values = [c for c in model.columns if c not in ("pool", "size")]
+    best = model.groupBy("pool").agg(F.min(F.struct("size", *values)).alias("m")).select("pool", *(F.col(f"m.{c}").alias(c) for c in values))
+    return _with_distance(rows, best)
 
 
 def quality(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = 60, **base) -> DataFrame:

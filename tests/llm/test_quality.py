@@ -67,6 +67,22 @@ def test_distance_is_mahalanobis(spark):
     assert np.corrcoef(want, [r.distance for r in got])[0, 1] > 0.98
 
 
+def test_a_correlated_cluster_of_outliers(spark):
+    """A fifth of the rows lies off the line of the rest, no statistic of its own extreme; the smallest determinant leaves them out."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(1600, 5)) * 0.3
+    base[:, 1] = base[:, 0] * 3 + rng.normal(size=1600) * 0.02
+    base[:, 0] *= 3
+    off = rng.normal(size=(300, 5)) * 0.1
+    off[:, 0] += 1.5
+    off[:, 1] -= 1.5
+    x = np.vstack([base, off])
+    df = spark.createDataFrame([("p", False, *map(float, r)) for r in x], "pool string, base_failed boolean, " + ", ".join(f"{c} double" for c in quality.STATISTICS))
+    got = quality.robust_distances(df.withColumn("n", quality.F.monotonically_increasing_id()), Scratch(spark, "t"), accuracy=10000).orderBy("n").collect()
+    distance = np.array([r.distance for r in got])
+    assert (distance[1600:] > quality.CUTOFF).mean() > 0.95 and (distance[:1600] > quality.CUTOFF).mean() < 0.03
+
+
 def test_awkward_rows(spark, awkward):
     got = quality.quality(awkward).collect()
     assert len(got) == awkward.count() and not any(r.kept for r in got if r.doc_id == 2)
