@@ -49,6 +49,21 @@ def test_awkward_rows(spark, awkward):
     assert neardup.near_duplicates(make(spark, [])).count() == 0
 
 
+def test_one_id_with_different_texts(spark):
+    """Links of any of its texts are links of the document."""
+    p, q = (" ".join(f"{c}{i}" for i in range(80)) for c in "pq")
+    rows = [(5, p), (5, q), (7, p + " end"), (8, q + " end"), (9, "something else altogether here now")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(make(spark, rows)).collect()}
+    assert got == {(5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True)}
+
+
+def test_words_with_cancelling_sums(spark):
+    x = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    rows = [(1, x), (2, x.translate(str.maketrans("ab", "ba"))), (3, x), (4, "z" * 300_000), (5, "z" * 300_001)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(make(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
 def test_odd_sketch_estimates():
     import numpy as np
 
