@@ -122,15 +122,53 @@ def test_named_columns_of_derived_relations_and_empty_ones(spark):
     assert e.query("select c where CallTarget(c, _), (TaintAlert(c, _, _, _) or c = 10).").collect() == [(10,)]
 
 
+def ask_ql(spark, given, text):
+    parsed = lower_module(text, bridge.Loader(), relations.entity)
+    return sorted(map(tuple, code_engine(spark, given).add_rules(parsed.rules).query(parsed.query).collect()))
+
+
+#: Declarations contain their patterns: 1 is a declaration, 2 its pattern. Calls are their own expressions.
+CONTEXT = {
+    "VarDecl": [(1, 10, 100, 1), (2, 0, 201, 1), (3, 0, 102, 1)], "CallCalleeSym": [(100, 90), (201, 91), (202, 12), (203, 92)], "ExprIsCall": [(101, 201), (104, 202), (301, 203)], "Cast": [(102, 104)],
+    "ImportBinding": [(90, "react", "createContext"), (91, "react", "useState"), (92, "react", "useContext")], "ArrayDestructure": [(21, 1, 11)], "JsxElement": [(5, 50, 0)], "FieldRead": [(50, 10, "Provider")],
+    "JsxAttribute": [(5, "value", 60)], "Contains": [(60, 61), (2, 21), (3, 31)], "ObjectLiteralSpread": [(61, 62)], "ObjectLiteralField": [(62, "set", 63)], "ExprMayRef": [(63, 11), (64, 10)], "FunctionSymbol": [(12, 9)], "ReturnStmt": [(9, 0, 301)],
+    "CallArg": [(203, 0, 64)], "DestructureField": [(31, "set", "set", 13, 0)],
+}
+
+
 def test_react_context(spark):
-    given = facts(
-        spark, VarDecl=[(1, 10, 100, 1), (2, 0, 101, 1), (3, 0, 102, 1)], CallCalleeSym=[(100, 90), (201, 91), (202, 12), (203, 92)], ExprIsCall=[(101, 201), (102, 202), (301, 203)],
-        ImportBinding=[(90, "react", "createContext"), (91, "react", "useState"), (92, "react", "useContext")], ArrayDestructure=[(2, 1, 11)], JsxElement=[(5, 50, 0)], FieldRead=[(50, 10, "Provider")],
-        JsxAttribute=[(5, "value", 60)], Contains=[(60, 61)], ObjectLiteralSpread=[(61, 62)], ObjectLiteralField=[(62, "set", 63)], ExprMayRef=[(63, 11), (64, 10)], FunctionSymbol=[(12, 9)], ReturnStmt=[(9, 0, 301)],
-        CallArg=[(203, 0, 64)], DestructureField=[(3, "set", "set", 13, 0)],
-    )
-    run = lambda text: sorted(map(tuple, (lambda p: code_engine(spark, given).add_rules(p.rules).query(p.query))(lower_module("import code::react " + text, bridge.Loader(), relations.entity)).collect()))
+    given = facts(spark, **CONTEXT)
+    run = lambda text: ask_ql(spark, given, "import code::react " + text)
     assert run("from int s where isUseStateSetterSym(s) select s") == [(11,)]
     assert run("from int c, string f, int s where contextProviderField(c, f, s) select c, f, s") == [(10, "set", 11)]
     assert run("from int c, string f, int s where contextDestructureBinding(c, f, s) select c, f, s") == [(10, "set", 13)]
     assert run("from int s where useStateSetterAliasV2(s) select s") == [(11,), (13,)]
+
+
+def test_setters_called_in_updaters(spark):
+    """Outer calls 401 (direct setter) and 402 (through the context), with updaters that call each other's setter, one of them two functions deep."""
+    more = {
+        "CallCalleeSym": [(401, 11), (402, 13), (411, 13), (412, 11), (420, 11)], "Call": [(401, 501, 1), (402, 502, 1), (411, 511, 1), (412, 512, 1), (420, 520, 1)],
+        "Node": [(501, 0, "Identifier", 7, 1, 7, 9), (502, 0, "Identifier", 8, 1, 8, 9), (520, 0, "Identifier", 9, 1, 9, 9), (401, 0, "CallExpression", 70, 1, 70, 9)],
+        "CallArg": [(401, 0, 601), (402, 0, 602), (420, 0, 603)], "Function": [(601, "", 1, 0, 0, 0), (602, "", 1, 0, 0, 0), (603, "", 1, 0, 0, 0), (604, "", 1, 0, 0, 0), (605, "", 1, 0, 0, 0)],
+        "FunctionContains": [(601, 411), (602, 604), (604, 605), (605, 412)],
+    }
+    given = facts(spark, **{k: CONTEXT.get(k, []) + more.get(k, []) for k in {*CONTEXT, *more}})
+    run = lambda name: ask_ql(spark, given, f"import code::react from int c, int l where {name}(c, l) select c, l")
+    assert run("setStateUpdaterCallsFn") == [(401, 7)]
+    assert run("setStateUpdaterCallsOtherSetState") == []
+    assert run("setStateUpdaterCallsOtherSetStateThroughProps") == []
+    assert run("setStateUpdaterCallsOtherSetStateThroughContext") == [(401, 7), (402, 8)]
+    assert run("setStateUpdaterCallsOtherSetStateThroughContext_outerCtx") == [(402, 8)]
+    assert run("setStateUpdaterCallsOtherSetStateThroughContext_innerCtx") == [(401, 7)]
+
+
+def test_dataflow_configuration(spark):
+    steps = [(1, 2), (2, 3), (3, 4), (5, 6), (8, 9)]
+    given = facts(spark, Symbol=[(i, f"s{i}", 0, 0) for i in range(1, 10)], LocalFlow=[(0, a, b) for a, b in steps], LocalFlowStar=[(0, a, b) for a in range(1, 5) for b in range(a + 1, 5)] + [(0, 5, 6), (0, 8, 9)])
+    config = """import code::pathgraph class C extends DataFlow::Configuration {{ C() {{ Symbol(this, "s7", _, _) }}
+      override predicate isSource(DataFlow::Node n) {{ n.getName() = "s1" or n.getName() = "s8" or n.getName() = "s5" }} override predicate isSink(DataFlow::Node n) {{ n.getName() = "s4" or n.getName() = "s6" or n.getName() = "s9" or n.getName() = "s5" }}
+      {} }} from C c, DataFlow::Node a, DataFlow::Node b where c.hasFlow(a, b) select a, b"""
+    assert ask_ql(spark, given, config.format("")) == [(1, 4), (5, 5), (5, 6), (8, 9)]
+    assert ask_ql(spark, given, config.format('override predicate isBarrier(DataFlow::Node n) { n.getName() = "s3" or n.getName() = "s9" }')) == [(5, 5), (5, 6)]
+    assert ask_ql(spark, given, config.format('override predicate isAdditionalFlowStep(DataFlow::Node a, DataFlow::Node b) { a.getName() = "s2" and b.getName() = "s5" }')) == [(1, 4), (1, 5), (1, 6), (5, 5), (5, 6), (8, 9)]
