@@ -42,6 +42,16 @@ class Engine:
         self.workspace = Workspace(spark)
         self.rounds: dict[Key, int] = {}
 
+    def close(self) -> None:
+        """Delete the tables of fixpoints; results that read them must have been used."""
+        self.workspace.close()
+
+    def __enter__(self) -> Engine:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     # ---- relations and rules
 
     def add_relation(self, name: str, df: DataFrame, distinct: bool = False) -> Engine:

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder in spark.checkpoint.dir; a local one only where it is unset and all tasks run in this process."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarrylog-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
@@ -36,5 +38,14 @@ class Workspace:
     def forget(self, df: DataFrame) -> None:
         """Delete a table that settle() wrote and nothing reads any more."""
         if found := self._paths.get(id(df)):
-            jpath = self.spark._jvm.org.apache.hadoop.fs.Path(found[0])
-            jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
+            self._delete(found[0])
+
+    def close(self) -> None:
+        """Delete all tables; what reads them must be done."""
+        if self._root:
+            self._delete(self._root)
+            self._root, self._paths = None, {}
+
+    def _delete(self, path: str) -> None:
+        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)

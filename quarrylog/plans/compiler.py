@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -337,8 +337,12 @@ class Compiler:
             raise ir.LogicError(f"{f.func} needs a value")
         out = "__result"
         if f.func == "rank":
-            window = Window.partitionBy(*keys).orderBy(value)
-            found = rows.select(*keys, F.row_number().over(window).cast("long").alias(out)).distinct()
+            # the ordinals of a group are 1 to its size, whatever its order; large groups are counted out in blocks
+            sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 0")
+            block = F.lit(1 << 16).cast("long")
+            blocks = sizes.select(*keys, "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(__n - 1) div 65536"))).alias("__b"))
+            last = F.least(F.col("__n"), (F.col("__b") + 1) * block)
+            found = blocks.select(*keys, F.explode(F.sequence(F.col("__b") * block + 1, last)).alias(out))
         else:
             found = rows.groupBy(*keys).agg(*self._measures(f, value, kind, out)).where(F.col(out).isNotNull())
             if f.func in ("count", "strictcount"):
