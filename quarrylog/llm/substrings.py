@@ -178,6 +178,8 @@ def marked_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
 POSTINGS, TEXTS = "cell BIGINT, fp BIGINT, doc_id BIGINT", "doc_id BIGINT, text STRING, copy BOOLEAN"
 #: Postings of a bucket before compaction deals them into more buckets.
 BUCKET_ROWS = 8_000_000
+#: Tables of texts that an index has before compaction merges them.
+TEXT_TABLES = 8
 #: A fingerprint in more than one of PARTS documents of a sample is spread over CELLS buckets; MOST_FREQUENT of a batch at most.
 PARTS, CELLS, MOST_FREQUENT = 50, 64, 500
 
@@ -293,13 +295,14 @@ class FingerprintIndex:
         return union_all([p.select("fp", "doc_id") for p in parts])
 
     def compact(self) -> None:
-        """Merge all runs into one, and all texts; more rows are dealt into more buckets."""
+        """Merge all runs into one, and tables of texts where there are many; more rows are dealt into more buckets."""
         runs, texts = ([self._table(t, key) for t in self.state[k]] for k, key in (("runs", "cell"), ("texts", "doc_id")))
         rows = union_all(runs).count()
         self.state = {**self.state, "buckets": max(self.state["buckets"], -(-rows // BUCKET_ROWS))}
         # all runs get the cells of the newest list
         merged = self._with_cells(union_all(runs).select("fp", "doc_id"), self.state["frequent"])
-        self._commit(runs=[self._write(merged, "cell")], texts=[self._write(union_all(texts), "doc_id")])
+        few = len(texts) <= TEXT_TABLES
+        self._commit(runs=[self._write(merged, "cell")], texts=self.state["texts"] if few else [self._write(union_all(texts), "doc_id")])
 
     def close(self) -> None:
         """Delete the index."""

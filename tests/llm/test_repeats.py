@@ -191,10 +191,11 @@ def test_maximal_runs(spark):
     assert [(r.doc_id, [tuple(x) for x in r.runs]) for r in gone] == [(2, [(1, 64), (65, 67)])]
 
 
-def test_index_goes_on_in_a_new_session(spark):
+def test_index_goes_on_in_a_new_session(spark, monkeypatch):
     """Batches after reopening meet the runs of those before; a compacted run is what later batches read."""
     rows = [(1000 * k + d, t) for k, seed in enumerate((1, 2, 1, 3, 2)) for d, t in corpus(seed, 40) if d > 5]
     want = brute_windows(rows, 5)
+    monkeypatch.setattr(substrings, "TEXT_TABLES", 2)
     folder = Scratch(spark, "t").root + "/index"
     found, sizes = {}, []
     for k in range(5):
