@@ -18,7 +18,10 @@ gets a floor, so that statistics which are zero nearly everywhere do no harm.
 
 Sources with fewer than ``least_rows`` usable rows are pooled by language, and
 what is still too small is pooled altogether; a pool that stays too small gives
-no verdict, so its rows are kept. Null language or source is a value of its own.
+no verdict, so its rows are kept. Rows meet the estimates of pools with more than a
+512th of all rows, of which there are fewer than 512, by a broadcast join, so that a
+large pool never lies in one task; smaller ones are shuffled. Null language or
+source is a value of its own.
 Null texts count as empty and fail the base rules. Null ids and repeated rows
 are carried through; other columns are not read.
 """
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 
 from quarrylog.llm.columns import bind
 from quarrylog.llm.scratch import Scratch
+from quarrylog.llm.skew import PARTS, join_groups
 
 BLANKS = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -91,14 +95,28 @@ def pools(rows: DataFrame, least_rows: int, scratch: Scratch) -> DataFrame:
     """rows with a column pool: language and source, or what they are pooled to (null: no verdict)."""
     tag = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("null"))
     rows = rows.withColumns({"l": tag("lang"), "ls": F.concat(tag("lang"), F.lit("/"), tag("source"))})
-    by_source = scratch.save(rows.where("NOT base_failed").groupBy("l", "ls").count(), "sources")
+    by_source = scratch.save(rows.groupBy("l", "ls").agg(F.count("*").alias("size"), F.count_if(~F.col("base_failed")).alias("count")), "sources")
     own = F.col("count") >= least_rows
     by_lang = by_source.where(~own).groupBy("l").agg(F.sum("count").alias("count"))
     rest = by_lang.where(~own).select(F.sum("count")).scalar()
     pooled = by_source.join(by_lang.select("l", F.col("count").alias("n_l")), "l", "left")
     pool = F.when(own, F.col("ls")).when(F.col("n_l") >= least_rows, F.col("l")).when(rest >= least_rows, F.lit("*"))
-    chosen = scratch.save(pooled.select("ls", pool.alias("pool")), "pool")
-    return rows.join(chosen, "ls", "left").drop("l", "ls")
+    chosen = scratch.save(pooled.select("ls", "size", pool.alias("pool")), "pool")
+    return join_groups(rows, chosen, ["ls"]).drop("l", "ls")
+
+
+def _marked(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows with hot: the pool holds a large part of all rows, or there is none, so that no estimate is to be met."""
+    sizes = scratch.save(rows.groupBy("pool").count(), "sizes")
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    large = sizes.where(F.col("count") * PARTS > total).select("pool", F.lit(True).alias("hot"))
+    return rows.join(F.broadcast(large), "pool", "left").withColumn("hot", F.coalesce("hot", F.col("pool").isNull()))
+
+
+def _meet(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with a table of pools; both have hot, which the pool decides."""
+    near = rows.where("hot").join(F.broadcast(table.where("hot").drop("hot")), "pool", how)
+    return near.unionByName(rows.where("NOT hot").join(table.where("NOT hot").drop("hot").hint("merge"), "pool", how))
 
 
 def _distance(centre: dict[str, Column], lower: dict[tuple[int, int], Column]) -> Column:
@@ -126,12 +144,12 @@ def _factor(table: DataFrame) -> DataFrame:
 def _with_distance(rows: DataFrame, model: DataFrame, *more: str) -> DataFrame:
     p = len(STATISTICS)
     lower = {(i, j): F.col(f"l_{i}_{j}") for i in range(p) for j in range(i + 1)}
-    joined = rows.join(model, "pool", "left")
+    joined = _meet(rows, model, "left")
     return joined.withColumn("distance", _distance({x: F.col(f"c_{x}") for x in STATISTICS}, lower)).select(*rows.columns, *more, "distance")
 
 
 def starts(usable: DataFrame, scratch: Scratch, accuracy: int) -> DataFrame:
-    """pool, start, c_x, l_i_j: centres (medians) and factored scatters from which concentration sets out.
+    """pool, hot, start, c_x, l_i_j: centres (medians) and factored scatters from which concentration sets out.
 
     diagonal: median absolute deviations alone. tanh: covariance of the hyperbolic
     tangents of the scaled statistics. pairwise: correlations from the median absolute
@@ -140,13 +158,13 @@ def starts(usable: DataFrame, scratch: Scratch, accuracy: int) -> DataFrame:
     """
     p = len(STATISTICS)
     median = lambda c: F.percentile_approx(c, F.lit(0.5), F.lit(accuracy))
-    centre = scratch.save(usable.groupBy("pool").agg(*(median(x).alias(f"c_{x}") for x in STATISTICS)), "medians")
-    spread = usable.join(centre, "pool").groupBy("pool").agg(*(median(F.abs(F.col(x) - F.col(f"c_{x}"))).alias(f"d_{i}") for i, x in enumerate(STATISTICS)))
+    centre = scratch.save(usable.groupBy("pool", "hot").agg(*(median(x).alias(f"c_{x}") for x in STATISTICS)), "medians")
+    spread = _meet(usable, centre).groupBy("pool").agg(*(median(F.abs(F.col(x) - F.col(f"c_{x}"))).alias(f"d_{i}") for i, x in enumerate(STATISTICS)))
     scale = [F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(FLOORS[x])).alias(f"s_{i}") for i, x in enumerate(STATISTICS)]
-    scaled = scratch.save(centre.join(spread, "pool").select("pool", *(f"c_{x}" for x in STATISTICS), *scale), "scales")
+    scaled = scratch.save(centre.join(spread, "pool").select("pool", "hot", *(f"c_{x}" for x in STATISTICS), *scale), "scales")
     z = [(F.col(x) - F.col(f"c_{x}")) / F.col(f"s_{i}") for i, x in enumerate(STATISTICS)]
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    shaped = usable.join(scaled, "pool").select("pool", *(c.alias(f"z_{i}") for i, c in enumerate(z)), *(F.tanh(c).alias(f"t_{i}") for i, c in enumerate(z)))
+    shaped = _meet(usable, scaled).select("pool", *(c.alias(f"z_{i}") for i, c in enumerate(z)), *(F.tanh(c).alias(f"t_{i}") for i, c in enumerate(z)))
     apart = [median(F.abs(F.col(f"z_{i}") + s * F.col(f"z_{j}"))).alias(f"{n}_{i}_{j}") for i, j in pairs if i < j for n, s in (("a", 1), ("b", -1))]
     known = scaled.join(shaped.groupBy("pool").agg(*(F.covar_pop(f"t_{i}", f"t_{j}").alias(f"t_{i}_{j}") for i, j in pairs), *apart), "pool")
 
@@ -156,7 +174,7 @@ def starts(usable: DataFrame, scratch: Scratch, accuracy: int) -> DataFrame:
 
     one_of = {"diagonal": lambda i, j: F.lit(0.0), "tanh": lambda i, j: F.col(f"t_{i}_{j}"), "pairwise": pairwise}
     each = [
-        known.select("pool", F.lit(name).alias("start"), *(f"c_{x}" for x in STATISTICS), *(
+        known.select("pool", "hot", F.lit(name).alias("start"), *(f"c_{x}" for x in STATISTICS), *(
             ((F.lit(1.0) if i == j and name != "tanh" else of(i, j)) * F.col(f"s_{i}") * F.col(f"s_{j}") + (FLOORS[STATISTICS[i]] ** 2 if i == j else 0)).alias(f"v_{i}_{j}") for i, j in pairs
         )) for name, of in one_of.items()
     ]
@@ -170,23 +188,25 @@ def robust_distances(rows: DataFrame, scratch: Scratch, share: float = 0.75, ste
     ``tolerance`` from any start, or for ``steps`` steps; of a pool's starts the one
     with the smallest determinant counts.
     """
-    p, usable = len(STATISTICS), rows.where("NOT base_failed AND pool IS NOT NULL").select("pool", *STATISTICS)
+    columns, rows = rows.columns, _marked(rows, scratch)
+    p, usable = len(STATISTICS), rows.where("NOT base_failed AND pool IS NOT NULL").select("pool", "hot", *STATISTICS)
     size = 2 * reduce(lambda a, b: a + b, (F.log(F.col(f"l_{i}_{i}")) for i in range(p)))
     model = scratch.save(starts(usable, scratch, accuracy).withColumn("size", size), "start")
     for step in range(steps):
         far = _with_distance(usable, model, "start")
-        edge = scratch.save(far.groupBy("pool", "start").agg(F.percentile_approx("distance", F.lit(share), F.lit(accuracy)).alias("edge")), f"edge{step}")
-        near = far.join(edge, ["pool", "start"]).where("distance <= edge")
-        moments = near.groupBy("pool", "start").agg(*(F.avg(x).alias(f"c_{x}") for x in STATISTICS), *(F.covar_pop(STATISTICS[i], STATISTICS[j]).alias(f"v_{i}_{j}") for i in range(p) for j in range(i, p)))
+        edge = far.groupBy("pool", "start").agg(F.percentile_approx("distance", F.lit(share), F.lit(accuracy)).alias("edge"))
+        bounded = scratch.save(model.join(edge, ["pool", "start"]), f"edge{step}")
+        near = _with_distance(usable, bounded, "start", "edge").where("distance <= edge")
+        moments = near.groupBy("pool", "hot", "start").agg(*(F.avg(x).alias(f"c_{x}") for x in STATISTICS), *(F.covar_pop(STATISTICS[i], STATISTICS[j]).alias(f"v_{i}_{j}") for i in range(p) for j in range(i, p)))
         scaled = moments.withColumns({f"v_{i}_{j}": CONSISTENCY * F.col(f"v_{i}_{j}") + (FLOORS[STATISTICS[i]] ** 2 if i == j else 0) for i in range(p) for j in range(i, p)})
         after = scratch.save(_factor(scaled).withColumn("size", size), f"step{step}")
         moved = after.select("pool", "start", "size").join(model.select("pool", "start", F.col("size").alias("before")), ["pool", "start"])
         model = after
         if step and (moved.agg(F.max(F.abs(F.col("size") - F.col("before")))).first()[0] or 0.0) <= tolerance:
             break
-    values = [c for c in model.columns if c not in ("pool", "size")]
-    best = model.groupBy("pool").agg(F.min(F.struct("size", *values)).alias("m")).select("pool", *(F.col(f"m.{c}").alias(c) for c in values))
-    return _with_distance(rows, best)
+    values = [c for c in model.columns if c not in ("pool", "hot", "size")]
+    best = model.groupBy("pool", "hot").agg(F.min(F.struct("size", *values)).alias("m")).select("pool", "hot", *(F.col(f"m.{c}").alias(c) for c in values))
+    return _with_distance(rows, best).select(*columns, "distance")
 
 
 def quality(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = 60, **base) -> DataFrame:
