@@ -225,14 +225,17 @@ class Engine:
             if facts is not None:
                 first[key].append(facts)
         known: dict[Key, list[DataFrame]] = {}
-        delta: dict[Key, DataFrame] = {}
         schemas = self._schemas(group, first, steps, results)
+        empty = {k: self.spark.createDataFrame([], schemas[k]) for k in group}
+        typed = lambda key, df: df.select(*(F.col(c.name).cast(c.dataType) for c in schemas[key]))
+        sources = [k for k in group if first[k]]
+        begun = self.workspace.settle_all([typed(k, self._union(first[k])) for k in sources])
+        delta = {**empty, **{k: df for k, (df, _) in zip(sources, begun, strict=True)}}
+        rows = {k: n for k, (_, n) in zip(sources, begun, strict=True)}
         for key in group:
-            start = self._union(first[key]) if first[key] else self.spark.createDataFrame([], schemas[key])
-            delta[key] = self.workspace.settle(start.select(*(F.col(c.name).cast(c.dataType) for c in schemas[key])))
             known[key] = [delta[key]]
         rounds = 0
-        while any(not d.isEmpty() for d in delta.values()):
+        while any(rows.values()):
             if self.max_iterations and rounds >= self.max_iterations:
                 if self.allow_partial:
                     break
@@ -242,27 +245,28 @@ class Engine:
             fresh: dict[Key, list[DataFrame]] = {k: [] for k in group}
             for key, rule, place in steps:
                 literal = rule.body[place]
+                if not rows.get(literal.key):
+                    continue  # nothing new to join with
                 changed = ("Δ" + literal.pred, literal.key[1])
                 body = tuple(ir.Atom(changed[0], f.args) if i == place else f for i, f in enumerate(rule.body))
                 at = {**results, **whole, changed: delta[literal.key]}
                 fresh[key].append(self._compiler(at).head(ir.Rule(rule.head, body)))
-            after = {}
-            for key in group:
-                names = [f"c{i}" for i in range(max(1, key[1]))]
-                if not fresh[key]:
-                    after[key] = self.spark.createDataFrame([], schemas[key])
-                    continue
-                new = self._union(fresh[key]).select(*(F.col(c.name).cast(c.dataType) for c in schemas[key]))
-                after[key] = self.workspace.settle(new.join(whole[key], names, "left_anti").select(*names))
-                if self.max_bindings and after[key].count() > self.max_bindings:
+            grown = [k for k in group if fresh[k]]
+            unseen = [typed(k, self._union(fresh[k])).join(whole[k], schemas[k].names, "left_anti").select(*schemas[k].names) for k in grown]
+            done = dict(zip(grown, self.workspace.settle_all(unseen), strict=True))
+            rows = {k: n for k, (_, n) in done.items()}
+            for key, n in rows.items():
+                if self.max_bindings and n > self.max_bindings:
                     raise BindingLimit(f"{key[0]}: more than {self.max_bindings} rows in a round")
+            after = {k: done[k][0] if rows.get(k) else empty[k] for k in group}
             for key in group:
-                known[key].append(after[key])
+                if rows.get(key):
+                    known[key].append(after[key])
                 if len(known[key]) > 8:  # few files to read, and a short plan
                     merged = self.workspace.settle(reduce(lambda a, b: a.union(b), known[key][:-1]))
                     for old in known[key][:-1]:
                         self.workspace.forget(old)
-                    known[key] = [merged, after[key]]
+                    known[key] = [merged, known[key][-1]]
             delta = after
         for key in group:
             results[key] = reduce(lambda a, b: a.union(b), known[key])
