@@ -89,3 +89,13 @@ def test_awkward_rows(spark, awkward):
     assert quality.quality(make(spark, [])).count() == 0
     nulls = make(spark, [(i, prose(random.Random(i), 80), None, None if i % 2 else "s", 0) for i in range(80)])
     assert all(r.kept for r in quality.quality(nulls).collect())
+
+
+def test_pools_joined_by_broadcast_or_shuffle_give_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = make(spark, [(i, prose(rng, rng.randint(60, 200), 0.9 if i % 40 == 0 else 0.0), ["en", "de", None][i % 3], "s", 0) for i in range(240)])
+    verdicts = []
+    for parts in (512, 1):  # every pool is large; none is
+        monkeypatch.setattr(quality, "PARTS", parts)
+        verdicts.append({r.doc_id: (r.kept, round(r.distance, 6)) for r in quality.quality(rows).collect()})
+    assert verdicts[0] == verdicts[1] and len(verdicts[0]) == 240
