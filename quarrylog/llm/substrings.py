@@ -30,6 +30,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +126,18 @@ def exact_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return join_groups(heads, scratch.save(groups, "copied"), ["h"]).where("doc_id > a").select("doc_id").distinct()
 
 
+@contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside take buckets of one sorted file as sorted, so that merge joins of runs sort nothing anew."""
+    setting = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 class Bucketed:
     """Parquet tables in a folder, dealt into buckets by a key and sorted by it; none stays in the session's catalogue."""
 
@@ -261,13 +274,14 @@ class FingerprintIndex:
         run = self._write(self._with_cells(fingerprints(own, self.window, self.gram), new), "cell")
         old = self.state["runs"]
         self._commit(runs=[*old, run], texts=[*self.state["texts"], texts], frequent=frequent)
-        places = scratch.save(self._shared(run, old, frequent).groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "places")
-        parts = []
-        for entry in self.state["texts"]:
-            known = self._table(entry, "doc_id").where("NOT copy").select("doc_id", "text")
-            at = windows_at(known.join(places.hint("merge"), "doc_id"), self.window, self.gram)
-            parts.append(at.withColumn("fresh", F.lit(entry["name"] == texts["name"])))
-        found = scratch.save(union_all(parts), "windows")
+        with sorted_buckets(self.spark):
+            places = scratch.save(self._shared(run, old, frequent).groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "places")
+            parts = []
+            for entry in self.state["texts"]:
+                known = self._table(entry, "doc_id").where("NOT copy").select("doc_id", "text")
+                at = windows_at(known.join(places.hint("merge"), "doc_id"), self.window, self.gram)
+                parts.append(at.withColumn("fresh", F.lit(entry["name"] == texts["name"])))
+            found = scratch.save(union_all(parts), "windows")
         scratch.drop(places)
         equal = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("size")).where("a <> b").drop("b")
         # written first, so that frequent windows need not meet in one task
@@ -281,8 +295,8 @@ class FingerprintIndex:
         is_frequent = F.col("fp").isin(frequent) if frequent else F.lit(False)
         rare = lambda r: self._table(r, "cell").where(~is_frequent)
         new = rare(run)
-        twice = new.groupBy("cell", "fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b")
-        # merge joins of bucketed tables: nothing is shuffled
+        twice = new.groupBy("cell").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b")
+        # merge joins of bucketed, sorted tables: nothing is shuffled or sorted; the cell of a rare one is its fingerprint
         parts = [new.join(twice.select("cell").hint("merge"), "cell", "left_semi")]
         for r in old:
             parts += [new.join(rare(r).select("cell").hint("merge"), "cell", "left_semi"), rare(r).join(new.select("cell").hint("merge"), "cell", "left_semi")]
