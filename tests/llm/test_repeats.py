@@ -212,6 +212,22 @@ def test_index_goes_on_in_a_new_session(spark, monkeypatch):
     index.close()
 
 
+def test_runs_meet_as_they_are_stored(spark):
+    """No shuffle; nothing is sorted but the fingerprints that a run shares within itself."""
+    setting = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(setting)
+    index = substrings.FingerprintIndex(spark, Scratch(spark, "t").root + "/index", window=5, gram=3, buckets=4)
+    rows = corpus(3, 20)
+    for part in (rows[:10], rows[10:]):
+        index.update(make(spark, part))
+    assert spark.conf.get(setting) == before
+    old, run = index.state["runs"]
+    with substrings.sorted_buckets(spark):
+        plan = index._shared(run, [old], [])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Sort [") == 1
+    index.close()
+
+
 def test_frequent_fingerprints_take_many_buckets(spark):
     passage = " ".join(f"p{i}" for i in range(20))
     rows = [(i, f"a{i} b{i} c{i} {passage} d{i} e{i}") for i in range(200)]
