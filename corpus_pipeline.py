@@ -16,6 +16,10 @@ documents (and any further ones that docs has); n_chars follows the text.
 - private: replaces personal data and secrets by pseudonyms.
 - packing: returns pieces of sequences; see quarrylog.llm.packing.
 
+Stages that run Python take their rows in Arrow batches of at most BATCH_ROWS, so
+that an executor's memory outside the heap stays bounded. As results are lazy, the
+session keeps that setting; one that is already smaller stays.
+
 Rows with a null doc_id pass all stages as documents of their own. Repeated rows
 stay repeated, as they are one document. An empty table gives an empty result.
 """
@@ -36,6 +40,15 @@ MOST_BITS = 8.0
 MOST_OWN = 1.25
 #: A repeated line of so many words goes whatever its neighbours; shorter ones (headings, labels) only within a longer run.
 LINE_WORDS = 8
+#: Rows that go to Python at a time.
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """At most BATCH_ROWS rows go to Python at a time (0 or less would be without a limit)."""
+    now = int(spark.conf.get(BATCH_SETTING))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
 
 
 def with_length(docs: DataFrame) -> DataFrame:
@@ -44,6 +57,7 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     own = free_prefix(docs.columns)
     found = langid.predict(docs, langid.sample_texts(docs), carry=docs.columns, prefix=own, own=True)
     return found.where(F.col(f"{own}bits") <= F.greatest(F.lit(MOST_BITS), MOST_OWN * F.col(f"{own}own"))).select(*(f"`{c}`" for c in docs.columns))
@@ -57,15 +71,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     gone = neardup.near_duplicates(docs, percent=80, shingle=5).where(~F.col("kept")).select("doc_id")
     return docs.join(gone.distinct().hint("merge"), "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return with_length(pseudonyms.pseudonymise(docs, pii_key(spark)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs)
 
 

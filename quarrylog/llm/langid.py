@@ -30,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylog.llm.columns import free_prefix
 from quarrylog.llm.textcols import SLICE_BYTES
 
 SEGMENT = 256
@@ -78,7 +78,13 @@ class Alphabet:
         keep = np.ones(len(found), bool)
         keep[1:] = (found[1:] != BLANK) | (found[:-1] != BLANK)
         keep[first[:-1][sizes > 0]] = True
-        return found[keep], np.concatenate([[0], np.cumsum(keep)])[first]
+        return found[keep], true_before(keep, first)
+
+
+def true_before(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many flags before each index are true."""
+    counts = np.cumsum(flags, dtype=np.int32)
+    return np.where(at > 0, counts[at - 1], 0).astype(np.int64) if len(counts) else np.zeros(len(at), np.int64)
 
 
 def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
@@ -226,7 +232,7 @@ class Model:
         """Bits a character [text, language]; NaN for texts without a letter."""
         symbols, first = self.alphabet.classes(texts)
         n = np.diff(first)
-        letters = np.concatenate([[0], np.cumsum(symbols != BLANK)])[first]
+        letters = true_before(symbols != BLANK, first)
         with np.errstate(divide="ignore", invalid="ignore"):
             bits = self.phrases(symbols, first) * self.bits / n[:, None]
         bits[np.diff(letters) == 0] = np.nan
@@ -250,21 +256,23 @@ def predict(docs: DataFrame, samples: dict[str, str], carry: list[str] | None =
     score is b2 / (b1 + b2) of the two lowest entropies (1 if there is one
     language), bits the lowest entropy (null for ``und``).
     With ``own`` there is also a column own: the bits that the language's own
-    sample takes, half by half.
+    sample takes, half by half. Where ``carry`` names the text, it goes to Python once.
     """
     carry = ["doc_id"] if carry is None else carry
+    text_at = carry.index("text") if "text" in carry else len(carry)
     added = [prefix + c for c in ("lang_pred", "score", "bits", *(["own"] if own else []))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(samples) if samples else None
         for batch in batches:
-            texts, at = batch.column(batch.num_columns - 1).to_pylist(), 0
+            texts, at = batch.column(text_at), 0
+            sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
             while at < len(texts):
                 to, held = at, 0
                 while to < len(texts) and (to == at or held < SLICE_BYTES // 2):
-                    held += len(texts[to] or "")
+                    held += sizes[to]
                     to += 1
-                part = [t or "" for t in texts[at:to]]
+                part = [t or "" for t in texts.slice(at, to - at).to_pylist()]
                 lang, score, bits = [UNDETERMINED] * len(part), [0.0] * len(part), [None] * len(part)
                 if model:
                     all_bits = model.entropies(part)
@@ -274,12 +282,12 @@ def predict(docs: DataFrame, samples: dict[str, str], carry: list[str] | None =
                         lang[i], bits[i] = model.langs[best[i][0]], float(b[0])
                         score[i] = float(b[1] / (b[0] + b[1])) if len(b) > 1 else 1.0
                 more = [pa.array([None if b is None else model.own(k) for k, b in zip(lang, bits, strict=True)], pa.float64())] if own else []
-                kept = [c.slice(at, to - at) for c in batch.columns[:-1]]
+                kept = [c.slice(at, to - at) for c in batch.columns[: len(carry)]]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), *more], names=[*carry, *added])
                 at = to
 
-    rows = docs.select(*(f"`{c}`" for c in carry), F.col("text").alias(free_prefix(carry) + "text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    rows = docs.select(*(f"`{c}`" for c in carry), *([] if text_at < len(carry) else ["text"]))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(carry)])
     return rows.mapInArrow(run, f"{kinds}, `{added[0]}` string, `{added[1]}` double, `{added[2]}` double" + (f", `{added[3]}` double" if own else ""))
 
 

@@ -57,6 +57,17 @@ def test_awkward_rows(spark, awkward):
     assert langid.predict(make(spark, [(1, "abc")]), {}).first().lang_pred == "und"
 
 
+def test_carried_text_goes_to_python_once(spark):
+    docs = make(spark, [*rows(30), (901, "12 .. 3", None, "s", 0), (902, None, "bb", "s", 0)])
+    samples = langid.sample_texts(docs)
+    found = langid.predict(docs, samples, carry=docs.columns, prefix="__")
+    # what the Python function is given
+    assert found._jdf.queryExecution().analyzed().children().head().output().size() == len(docs.columns)
+    plain = {r.doc_id: (r.lang_pred, r.score, r.bits) for r in langid.predict(docs, samples).collect()}
+    assert {r.doc_id: tuple(r[f"__{c}"] for c in ("lang_pred", "score", "bits")) for r in found.collect()} == plain
+    assert sorted(r.text or "" for r in found.collect()) == sorted(r.text or "" for r in docs.collect())
+
+
 def han(rng, first, n):
     """Words of two of 300 letters, each of the second letters with a few first ones."""
     return " ".join("".join(chr(first + rng.randrange(300)) for _ in range(2)) for _ in range(n))

@@ -33,3 +33,17 @@ def test_run_and_queries_are_registered(spark):
     folder = "/root/testdata/sf0.001"
     if os.path.isdir(folder):
         assert cp.run(spark, folder).count() > 0
+
+
+def test_stages_bound_what_goes_to_python_at_a_time(spark):
+    before = spark.conf.get(cp.BATCH_SETTING)
+    docs = make(spark, corpus())
+    try:
+        for name, stage in cp.STAGES:
+            for given, rows in ((10_000, cp.BATCH_ROWS), (0, cp.BATCH_ROWS), (7, 7)):
+                spark.conf.set(cp.BATCH_SETTING, given)
+                if name not in ("lines", "near_duplicates"):
+                    stage(spark, docs, "")
+                    assert int(spark.conf.get(cp.BATCH_SETTING)) == rows, name
+    finally:
+        spark.conf.set(cp.BATCH_SETTING, before)
