@@ -59,6 +59,24 @@ def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def _wanted(starts: np.ndarray, at: np.ndarray, grams: np.ndarray, first: np.ndarray, fps: pa.ListArray) -> np.ndarray:
+    """Is a window's fingerprint, grams[at], among its document's fps?
+
+    Neighbouring windows share their place, so each place is looked up once, and
+    those of all documents at once. Fingerprints are mixed with the document's
+    number; if two should meet, a window more is compared.
+    """
+    if not len(starts):
+        return np.zeros(0, bool)
+    new = np.concatenate([[True], at[1:] != at[:-1]])
+    places = at[new]
+    salt = tc.mix(np.arange(len(fps), dtype=np.uint64))
+    lists = np.repeat(salt, np.diff(np.asarray(fps.offsets)))
+    sought = grams[places] ^ salt[np.searchsorted(first, places, "right") - 1]
+    found = np.isin(sought, np.asarray(fps.flatten()).view(np.uint64) ^ lists)
+    return found[np.cumsum(new) - 1]
+
+
 def windows_at(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """doc_id, at, w1, w2: start and digest of the words of the windows of docs(doc_id, text, fps) whose fingerprint is among fps."""
     names = ["doc_id", "at", "w1", "w2"]
@@ -66,19 +84,20 @@ def windows_at(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column("doc_id").cast(pa.int64()), np.int64)
-            wanted = batch.column("fps")
             for part in tc.slices(batch.column("text")):
                 begin, end, first = part.words()
                 starts, at, grams = selected(tc.word_hashes(part.data, begin, end), first, window, gram)
-                prints = grams[at].view(np.int64)
-                edge = np.searchsorted(starts, first)
-                keep = np.zeros(len(starts), bool)
-                for i in range(part.n):
-                    keep[edge[i] : edge[i + 1]] = np.isin(prints[edge[i] : edge[i + 1]], np.asarray(wanted[part.first + i].values))
+                keep = _wanted(starts, at, grams, first, batch.column("fps").slice(part.first, part.n))
                 starts = starts[keep]
                 owner = np.searchsorted(first, starts, "right") - 1
-                plain, byte = tc.plain_words(part.data, begin, end)
-                spans = zip(byte[starts].tolist(), byte[starts + window].tolist(), strict=True)
+                # only words under these windows are looked at
+                cover = np.zeros(len(begin) + 1, np.int32)
+                cover[starts] += 1
+                cover[starts + window] -= 1
+                under = np.cumsum(cover[:-1]) > 0
+                plain, byte = tc.plain_words(part.data, begin[under], end[under])
+                place = (np.cumsum(under) - 1)[starts]
+                spans = zip(byte[place].tolist(), byte[place + window].tolist(), strict=True)
                 digests = np.frombuffer(b"".join([hashlib.blake2b(plain[a:b], digest_size=16).digest() for a, b in spans]), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[part.first + owner]), pa.array((starts - first[owner]).astype(np.int32)), pa.array(digests[::2]), pa.array(digests[1::2])], names=names)
 
@@ -127,15 +146,25 @@ def exact_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 @contextmanager
-def sorted_buckets(spark: SparkSession) -> Iterator[None]:
-    """Plans made inside take buckets of one sorted file as sorted, so that merge joins of runs sort nothing anew."""
-    setting = "spark.sql.legacy.bucketedTableScan.outputOrdering"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "true")
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session's setting has this value inside."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(setting, before)
+        spark.conf.set(name, before)
+
+
+def sorted_buckets(spark: SparkSession):
+    """Plans made inside take buckets of one sorted file as sorted, so that merge joins of runs sort nothing anew."""
+    return setting(spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+
+
+def presorted(spark: SparkSession):
+    """Plans of writes made inside keep a sort by the key alone, which goes by digits, before the writer's sort by the
+    bucket's number and the key, which compares rows and then finds them in order."""
+    return setting(spark, "spark.sql.optimizer.plannedWrite.enabled", "false")
 
 
 class Bucketed:
@@ -146,8 +175,9 @@ class Bucketed:
 
     def write(self, df: DataFrame, key: str, buckets: int) -> str:
         name = f"run_{uuid.uuid4().hex[:12]}"
-        dealt = df.repartition(buckets, key)
-        dealt.write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        dealt = df.repartition(buckets, key).sortWithinPartitions(key)
+        with presorted(self.spark):
+            dealt.write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd").option("path", f"{self.folder}/{name}").saveAsTable(name)
         self._tables[name] = self._uncatalogued(name)
         release(self.spark)
         return name
@@ -203,7 +233,7 @@ class FingerprintIndex:
     What belongs to the index is written in numbered manifests; the newest counts, so
     that a later session that opens the folder goes on where the last one stopped.
     Buckets go by cell: the fingerprint, or for frequent ones the fingerprint with a
-    part of the doc_id. Which are frequent is found on a sample of each batch; it
+    part of the doc_id; only those are stored besides the cell. Which are frequent is found on a sample of each batch; it
     decides on the layout alone, not on what is found.
     """
 
@@ -237,7 +267,8 @@ class FingerprintIndex:
         return {"name": self.tables.write(df, key, self.state["buckets"]), "buckets": self.state["buckets"]}
 
     def _table(self, entry: dict, key: str) -> DataFrame:
-        return self.tables.read(entry["name"], POSTINGS if key == "cell" else TEXTS, key, entry["buckets"])
+        table = self.tables.read(entry["name"], POSTINGS if key == "cell" else TEXTS, key, entry["buckets"])
+        return table.select("cell", F.coalesce("fp", "cell").alias("fp"), "doc_id") if key == "cell" else table
 
     def texts(self) -> list[DataFrame]:
         """doc_id, text, copy of all documents, in tables bucketed by doc_id."""
@@ -253,8 +284,10 @@ class FingerprintIndex:
 
     def _with_cells(self, postings: DataFrame, frequent: list[int]) -> DataFrame:
         spread = F.xxhash64("fp", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)))
-        cell = F.when(F.col("fp").isin(frequent), spread).otherwise(F.col("fp")) if frequent else F.col("fp")
-        return postings.select(cell.alias("cell"), "fp", "doc_id")
+        if not frequent:
+            return postings.select(F.col("fp").alias("cell"), F.lit(None).cast("long").alias("fp"), "doc_id")
+        many = F.col("fp").isin(frequent)
+        return postings.select(F.when(many, spread).otherwise(F.col("fp")).alias("cell"), F.when(many, F.col("fp")).alias("fp"), "doc_id")
 
     def update(self, batch: DataFrame) -> DataFrame:
         """Index batch(doc_id, text and perhaps copy) and return doc_id, start: its windows that start in an indexed document with a smaller doc_id.

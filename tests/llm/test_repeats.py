@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarrylog.llm import linedup, minimisers, substrings, suffixes
@@ -228,6 +229,52 @@ def test_runs_meet_as_they_are_stored(spark):
     index.close()
 
 
+def test_runs_store_a_fingerprint_once_and_in_order(spark):
+    """fp is stored only where the cell is another; the writer finds the rows sorted by cell."""
+    index = substrings.FingerprintIndex(spark, Scratch(spark, "t").root + "/index", window=5, gram=3, buckets=4)
+    setting = "spark.sql.optimizer.plannedWrite.enabled"
+    before = spark.conf.get(setting)
+    index.update(make(spark, corpus(3, 20)))
+    assert spark.conf.get(setting) == before
+    (run,) = index.state["runs"]
+    stored = spark.read.parquet(f"{index.folder}/{run['name']}")
+    assert stored.count() > 0 and stored.where("fp IS NOT NULL").count() == 0
+    assert index._table(run, "cell").where("fp = cell").count() == stored.count()
+    for part in stored.select("cell").rdd.glom().collect():
+        assert part == sorted(part)
+    spread = index._with_cells(stored.select(F.col("cell").alias("fp"), "doc_id"), [stored.first().cell])
+    assert spread.where("fp IS NOT NULL").select("fp").distinct().count() == 1
+    index.close()
+
+
+def test_windows_at_wanted_fingerprints(spark):
+    """Against each document's windows looked at alone; also where a document before wants what the next one has."""
+    import hashlib
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    texts = ["", "a b", *(" ".join(rng.choice(["x", "yy", "é", "z" * 300, "w"]) + str(rng.randint(0, 3)) for _ in range(rng.randint(0, 60))) for _ in range(30))]
+    rows, want, last = [], set(), []
+    for d, text in enumerate(texts):
+        words = text.encode().split()
+        (part,) = list(substrings.tc.slices(pa.array([text])))
+        begin, end, first = part.words()
+        starts, at, grams = minimisers.selected(substrings.tc.word_hashes(part.data, begin, end), first, 5, 3)
+        prints = grams[at].view(np.int64).tolist()
+        fps = sorted(set(prints[::7]))
+        rows.append((d, text, fps + [x for x in last if x not in prints]))
+        last = prints[:3]
+        for i, fp in zip(starts.tolist(), prints, strict=True):
+            if fp in fps:
+                plain = b"".join((w if len(w) <= 256 else w[:64] + b"\xff" + hashlib.sha256(w).hexdigest().encode()) + b" " for w in words[i : i + 5])
+                want.add((d, i, *np.frombuffer(hashlib.blake2b(plain, digest_size=16).digest(), np.int64).tolist()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fps array<long>").coalesce(1)
+    got = [tuple(r) for r in substrings.windows_at(docs, 5, 3).collect()]
+    assert len(want) > 100 and sorted(got) == sorted(want)
+
+
 def test_frequent_fingerprints_take_many_buckets(spark):
     passage = " ".join(f"p{i}" for i in range(20))
     rows = [(i, f"a{i} b{i} c{i} {passage} d{i} e{i}") for i in range(200)]
