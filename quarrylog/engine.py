@@ -36,6 +36,7 @@ class Engine:
         self.spark = spark
         self.max_iterations, self.allow_partial, self.max_bindings = max_iterations, allow_partial, max_bindings
         self.stored: dict[Key, DataFrame] = {}
+        self.sets: set[Key] = set()
         self.columns: dict[str, list[str]] = {}
         self.declared: dict[Key, T.StructType] = {}
         self.rules: dict[Key, list[ir.Rule]] = {}
@@ -64,6 +65,7 @@ class Engine:
         out = df.select(*cols)
         self.columns[name] = df.columns
         self.stored[name, len(cols)] = out.distinct() if distinct else out
+        (self.sets.add if distinct else self.sets.discard)((name, len(cols)))
         return self
 
     def declare(self, name: str, schema: T.StructType) -> Engine:
@@ -128,7 +130,7 @@ class Engine:
         return self.query(query)._jdf.queryExecution().toString()
 
     def _compiler(self, results: dict[Key, DataFrame]) -> Compiler:
-        return Compiler(self.spark, self._lookup(results), self.columns_of)
+        return Compiler(self.spark, self._lookup(results), self.columns_of, lambda key: key in results or key in self.sets)
 
     def _lookup(self, results: dict[Key, DataFrame]):
         def find(key: Key) -> DataFrame:

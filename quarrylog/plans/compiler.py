@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylog.functions.builtins import BUILTINS, CONSTANT_INPUTS
-from quarrylog.plans import ir
+from quarrylog.operators.spread import spread_join
+from quarrylog.plans import analysis, ir
 
 Lookup = Callable[[tuple[str, int]], DataFrame]
 
@@ -36,8 +37,8 @@ def comparable(a: str, b: str) -> bool:
 class Compiler:
     """Compiles bodies over the relations that ``lookup`` gives (columns c0, c1, ...)."""
 
-    def __init__(self, spark, lookup: Lookup, columns_of: Callable[[str], list[str]]):
-        self.spark, self.lookup, self.columns_of = spark, lookup, columns_of
+    def __init__(self, spark, lookup: Lookup, columns_of: Callable[[str], list[str]], is_set: Callable[[tuple[str, int]], bool] = lambda _: False):
+        self.spark, self.lookup, self.columns_of, self.is_set = spark, lookup, columns_of, is_set
 
     # ---- terms
 
@@ -382,7 +383,11 @@ class Compiler:
     def head(self, rule: ir.Rule) -> DataFrame:
         """The rule's rows: columns c0, c1, ..., each row once."""
         wanted = frozenset(ir.free_vars(rule.head))
-        rows = self.body(rule.body, wanted=wanted)
+        formulas = tuple(map(self._positional, rule.body))
+        rows = self._in_parts(formulas, wanted)
+        once = rows is not None or self._keeps_sets(formulas, wanted)
+        if rows is None:
+            rows = self.body(formulas, wanted=wanted)
         if missing := wanted - set(rows.columns):
             raise ir.LogicError(f"unsafe: nothing binds {sorted(missing)} in the head of {rule.head.pred}")
         cols = [self.term(a, rows)[0].alias(f"c{i}") for i, a in enumerate(rule.head.args)]
@@ -390,4 +395,43 @@ class Compiler:
         for i, a in enumerate(rule.head.args):
             if isinstance(a, ir.Arith):
                 out = out.where(F.col(f"c{i}").isNotNull())
-        return out.distinct()
+        return out if once and not any(isinstance(a, ir.Arith) for a in rule.head.args) else out.distinct()
+
+    def _keeps_sets(self, body: tuple[ir.Formula, ...], wanted: frozenset[str]) -> bool:
+        """Whether the body's rows are distinct as they are: joined sets of which no column is left out."""
+        for f in body:
+            if isinstance(f, ir.Atom):
+                if not self.is_set(f.key) or any(isinstance(a, ir.Wild) for a in f.args) or not ir.free_vars(f) <= wanted:
+                    return False
+            elif not isinstance(f, (ir.Cmp, ir.Builtin, ir.Not, ir.Forall, ir.Truth)):
+                return False
+        return bool(wanted)
+
+    def _in_parts(self, body: tuple[ir.Formula, ...], wanted: frozenset[str]) -> DataFrame | None:
+        """The body's rows over ``wanted``, each once, where it falls into parts: their distinct rows are joined, so the result needs no distinct()."""
+        found = analysis.independent(body, set(wanted))
+        if found is None:
+            return None
+        cut, parts = found
+        on, out, exist = [cut] if cut else [], None, []
+        for part in parts:
+            names = sorted(ir.body_vars(part) & wanted)
+            try:
+                rows = self.body(part, wanted=frozenset(names))
+            except ir.LogicError:
+                return None
+            if not set(names) <= set(rows.columns):
+                return None
+            if not names:
+                exist.append(rows.limit(1))
+                continue
+            rows = rows.select(*names).distinct()
+            if out is None:
+                out = rows
+            elif not on or out.schema[cut].dataType == rows.schema[cut].dataType:
+                out = spread_join(out, rows, on)
+            else:
+                return None
+        if out is None:
+            return None
+        return reduce(lambda a, b: a.join(b, F.lit(True), "left_semi"), exist, out)
