@@ -380,11 +380,55 @@ class Compiler:
 
     # ---- rules
 
+    def _theta(self, body: tuple[ir.Formula, ...], wanted: frozenset[str]) -> DataFrame | None:
+        """The rows over ``wanted``, each once, of two atoms with comparisons between them; their pairs can be as many as the square of the rows.
+
+        Pairs of rows that alone have their values in the head differ as they are; only pairs with other rows are made distinct.
+        """
+        atoms = [f for f in body if isinstance(f, ir.Atom)]
+        if len(atoms) != 2 or not all(isinstance(f, (ir.Atom, ir.Cmp)) for f in body):
+            return None
+        names = [ir.free_vars(f) for f in atoms]
+        on = sorted(names[0] & names[1])
+        across = [f for f in body if isinstance(f, ir.Cmp) and not any(ir.free_vars(f) <= n for n in names)]
+        if not on or not across or not all(f.op != "=" and ir.free_vars(f) <= names[0] | names[1] for f in across) or not wanted <= names[0] | names[1]:
+            return None
+        shown = [sorted(wanted & n) for n in names]
+        if not all(set(s) - set(on) for s in shown):
+            return None
+        sides = []
+        for f, own, keys in zip(atoms, names, shown, strict=True):
+            local = [x for x in body if isinstance(x, ir.Cmp) and ir.free_vars(x) <= own]
+            used = sorted(own & set(on).union(wanted, *map(ir.free_vars, across)))
+            side = self.body((f, *local), wanted=frozenset(used)).select(*used)
+            rest = [c for c in used if c not in keys]
+            if not rest:
+                sides.append((side, side.distinct(), None))
+                continue
+            spans = side.groupBy(*keys).agg(*(g(c).alias(f"{n}:{c}") for c in rest for n, g in (("low", F.min), ("high", F.max))))
+            same = reduce(lambda a, b: a & b, (F.col(f"`low:{c}`") == F.col(f"`high:{c}`") for c in rest))
+            alone = spans.where(same).select(*keys, *(F.col(f"`low:{c}`").alias(c) for c in rest)).select(*used)
+            sides.append((side, alone, side.join(spans.where(~same).select(*keys), keys, "left_semi").select(*used)))
+        (_, one, several), (right, other, others) = sides
+        if any(one.schema[c].dataType != other.schema[c].dataType for c in on):
+            return None
+
+        def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+            joined = spread_join(a, b, on)
+            for f in across:
+                joined = joined.where(self.condition(f, joined))
+            return joined.select(*sorted(wanted))
+
+        rest = [pairs(a, b) for a, b in ((several, right), (one, others)) if a is not None and b is not None]
+        return reduce(lambda a, b: a.union(b), [pairs(one, other)] + ([reduce(lambda a, b: a.union(b), rest).distinct()] if rest else []))
+
     def head(self, rule: ir.Rule) -> DataFrame:
         """The rule's rows: columns c0, c1, ..., each row once."""
         wanted = frozenset(ir.free_vars(rule.head))
         formulas = tuple(map(self._positional, rule.body))
         rows = self._in_parts(formulas, wanted)
+        if rows is None:
+            rows = self._theta(formulas, wanted)
         once = rows is not None or self._keeps_sets(formulas, wanted)
         if rows is None:
             rows = self.body(formulas, wanted=wanted)

@@ -36,3 +36,14 @@ def test_parts_without_a_common_variable(spark, monkeypatch):
     assert not optimised(out).startswith("Aggregate")
     assert rows(out) == [(a, b) for a in range(5) for b in range(3)]
     assert rows(e.query("select a, b where A(a, _), B(b, _), D(_).")) == []
+
+
+def test_pairs_of_a_theta_join_are_made_distinct_only_where_values_repeat(spark, monkeypatch):
+    monkeypatch.setattr(spread, "ROWS", 2)
+    given = [(i, i % 2, float(i % 7)) for i in range(20)] + [(3, 0, 1.0), (3, 1, 9.0), (4, 0, 4.0), (5, 1, 2.0)]
+    e = engine(spark, S=("s long, k long, x double", given))
+    out = e.query('select a as "a", b as "b" where S(a, k, x), S(b, k, y), x > y.')
+    assert rows(out) == sorted({(a, b) for a, k, x in given for b, j, y in given if k == j and x > y})
+    assert optimised(out).startswith("Union")
+    out = e.query('select a as "a", k as "k", x as "x", b as "b", y as "y" where S(a, k, x), S(b, k, y), x != y, b > 3.')
+    assert rows(out) == sorted({(a, k, x, b, y) for a, k, x in given for b, j, y in given if k == j and x != y and b > 3})
