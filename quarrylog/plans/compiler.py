@@ -148,6 +148,7 @@ class Compiler:
             bound = set(cur.columns) if cur is not None else set()
             outside = [bound | wanted | ir.body_vars(tuple(x for x in todo if x is not f)) for f in todo]
             ranked = sorted(((self._rank(f, bound, out), i) for i, (f, out) in enumerate(zip(todo, outside, strict=True))))
+            ranked = self._choices_first(ranked, todo, bound)
             error = None
             for rank, i in ranked:
                 if rank is None or rank[0] >= 90:
@@ -165,6 +166,21 @@ class Compiler:
             cur = self.spark.range(1).select(F.lit(1).alias("__one"))
         return cur
 
+    @staticmethod
+    def _choices_first(ranked: list[tuple], todo: list[ir.Formula], bound: set[str]) -> list[tuple]:
+        """A disjunction before the next atom, where it binds what the atom would and is tied to more that is bound: the atom then
+        only selects, and does not pair all its rows with all there are."""
+        _, first = ranked[0]
+        if not bound or not isinstance(todo[first], ir.Atom):
+            return ranked
+        free = ir.free_vars(todo[first])
+
+        def ties(f: ir.Formula) -> bool:
+            return isinstance(f, ir.Or) and free & bound < ir.free_vars(f) and all(free - bound <= names and names & bound - free for names in map(ir.body_vars, f.branches))
+
+        early = [r for r in ranked if free - bound and ties(todo[r[1]])]
+        return early + [r for r in ranked if r not in early]
+
     def _positional(self, f: ir.Formula) -> ir.Formula:
         if not isinstance(f, ir.NamedAtom):
             return f
@@ -195,7 +211,7 @@ class Compiler:
                 return (6, -constants)
             if free <= bound:
                 return (5, -constants)
-            return (6, -constants, len(free - bound)) if free & bound else (80, -constants)
+            return (6, -constants, len(free - bound), -len(free & bound)) if free & bound else (80, -constants)
         if isinstance(f, ir.Agg):
             return (7,)
         if isinstance(f, ir.Or):
@@ -472,7 +488,9 @@ class Compiler:
             rows = rows.select(*names).distinct()
             if out is None:
                 out = rows
-            elif not on or out.schema[cut].dataType == rows.schema[cut].dataType:
+            elif not on:
+                out = out.crossJoin(rows)
+            elif out.schema[cut].dataType == rows.schema[cut].dataType:
                 out = spread_join(out, rows, on)
             else:
                 return None

@@ -47,3 +47,12 @@ def test_pairs_of_a_theta_join_are_made_distinct_only_where_values_repeat(spark,
     assert optimised(out).startswith("Union")
     out = e.query('select a as "a", k as "k", x as "x", b as "b", y as "y" where S(a, k, x), S(b, k, y), x != y, b > 3.')
     assert rows(out) == sorted({(a, k, x, b, y) for a, k, x in given for b, j, y in given if k == j and x != y and b > 3})
+
+
+def test_a_disjunction_that_ties_more_goes_before_an_atom_that_would_pair_all(spark):
+    p, q = [(1, i) for i in range(8)], [(1, i) for i in range(4, 12)]
+    r = [(1, 0, 5), (1, 1, 2), (1, 3, 9), (1, 9, 4)]
+    e = engine(spark, P=("k long, a long", p), Q=("k long, b long", q), R=("k long, a long, b long", r))
+    out = e.query('select a as "a", b as "b" where P(k, a), Q(k, b), (a = b or R(k, a, b)).')
+    assert "LeftSemi" in optimised(out)
+    assert rows(out) == [(0, 5), (3, 9), (4, 4), (5, 5), (6, 6), (7, 7)]
