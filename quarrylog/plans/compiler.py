@@ -305,7 +305,8 @@ class Compiler:
         if not shared:
             return cur.join(found.limit(1).select(F.lit(1).alias("__x")), F.lit(True), "left_anti")
         same = [c for c in shared if comparable(kind_of(cur.schema[c].dataType), kind_of(found.schema[c].dataType))]
-        return cur.join(found.select(*shared), shared, "left_anti") if same == shared else cur
+        # distinct before the shuffle, since a value with many rows would send them all to one task
+        return cur.join(found.select(*shared).distinct(), shared, "left_anti") if same == shared else cur
 
     def _either(self, f: ir.Or, cur: DataFrame | None, outside: frozenset[str], bag: bool) -> DataFrame:
         if cur is not None:

@@ -56,3 +56,10 @@ def test_a_disjunction_that_ties_more_goes_before_an_atom_that_would_pair_all(sp
     out = e.query('select a as "a", b as "b" where P(k, a), Q(k, b), (a = b or R(k, a, b)).')
     assert "LeftSemi" in optimised(out)
     assert rows(out) == [(0, 5), (3, 9), (4, 4), (5, 5), (6, 6), (7, 7)]
+
+
+def test_what_is_negated_is_distinct_before_it_is_joined(spark):
+    e = engine(spark, A=("k long", [(i,) for i in range(6)]), B=("k long, n long", [(i % 3, i) for i in range(30)]))
+    out = e.query('select k as "k" where A(k), not B(k, _).')
+    assert rows(out) == [(3,), (4,), (5,)]
+    assert optimised(out).split("LeftAnti")[1].count("Aggregate") == 1
