@@ -240,12 +240,8 @@ class Compiler:
         shared = sorted(ir.free_vars(f) & set(cur.columns))
         if isinstance(f, ir.Not):
             return self._without(f.body, cur, shared)
-        names = cur.select(*shared).distinct() if shared else None
-        guard = self.body(f.guard, names, wanted=ir.body_vars(f.body))
-        held = self.body(f.body, guard.distinct())
-        keys = guard.columns
-        failing = guard.join(held.select(*keys), keys, "left_anti")
-        return self._anti(cur, failing, shared)
+        # none of the guard's rows fails: conditions are tested on them as they are read
+        return self._without((*f.guard, ir.Not(f.body)), cur, shared)
 
     def _equate(self, target: ir.Term, value: Column, cur: DataFrame, kind: str | None = None) -> DataFrame:
         if isinstance(target, ir.Var) and target.name not in cur.columns:

@@ -63,3 +63,12 @@ def test_what_is_negated_is_distinct_before_it_is_joined(spark):
     out = e.query('select k as "k" where A(k), not B(k, _).')
     assert rows(out) == [(3,), (4,), (5,)]
     assert optimised(out).split("LeftAnti")[1].count("Aggregate") == 1
+
+
+def test_forall_reads_its_guard_once(spark):
+    e = engine(spark, A=("a long", [(i,) for i in range(5)]), B=("a long, q double", [(0, 1.0), (1, 5.0), (1, 1.0), (2, 7.0)]), C=("q double, a long", [(7.0, 2)]))
+    out = e.query('select a as "a" where A(a), forall(q | B(a, q) | q < 4.0).')
+    assert rows(out) == [(0,), (3,), (4,)]
+    assert optimised(out).count("Join") == 1
+    assert rows(e.query('select a as "a" where A(a), forall(q | B(a, q) | C(q, a)).')) == [(2,), (3,), (4,)]
+    assert rows(e.query('select a as "a" where A(a), forall(q | B(_, q), q > 4.0 | q > a + 1).')) == [(0,), (1,), (2,), (3,)]
