@@ -176,6 +176,7 @@ class Engine:
         analysis.check_strata(self.rules, analysis.components(graph))
         nothing = {k for k in graph if k in self.declared and k not in self.stored and k not in self.rules} if prune else set()
         self._live, empty = analysis.pruned(self.rules, graph, nothing, self.stored)
+        self._live = analysis.without_implied(self._live, analysis.components(self._graph(self._live, roots)), self.stored)
         live = self._graph(self._live, roots)
         results: dict[Key, DataFrame] = {}
         for group in analysis.components(live):

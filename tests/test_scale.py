@@ -72,3 +72,13 @@ def test_forall_reads_its_guard_once(spark):
     assert optimised(out).count("Join") == 1
     assert rows(e.query('select a as "a" where A(a), forall(q | B(a, q) | C(q, a)).')) == [(2,), (3,), (4,)]
     assert rows(e.query('select a as "a" where A(a), forall(q | B(_, q), q > 4.0 | q > a + 1).')) == [(0,), (1,), (2,), (3,)]
+
+
+def test_atoms_that_another_implies_are_left_out(spark):
+    e = engine(spark, R=("a long, n long", [(1, 5), (2, 6), (2, 7)]))
+    e.add_rules("Thing(a) :- R(a, _). Big(a) :- Thing(a), R(a, n), n > 5. Top(a) :- Thing(a), Big(a).")
+    out = e.query('select a as "a" where Top(a).')
+    assert rows(out) == [(2,)]
+    assert "Join" not in optimised(out)
+    e.add_rules("Other(a) :- R(a, 5). Other(a) :- R(_, a). Small(a) :- Other(a), R(a, _).")
+    assert rows(e.query('select a as "a" where Other(a), Thing(a).')) == rows(e.query('select a as "a" where Small(a).')) == [(1,)]
